@@ -67,9 +67,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of docs that stay, with all their columns. Of rows with one doc_id and text, one stays."""
     decided = exact_dedup(docs, id_col, text_col, support)
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(ascii_lower(F.col(text_col)), 256))
-    return (
-        keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed["_sha"] == kept["_kept_sha"]), "left_semi")
-        .drop("_sha")
-    )
+    same = ["_kept_id", "_sha"]
+    kept = decided.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha"), "kept").groupBy(*same).agg(
+        F.bool_or("kept").alias("_stays"), F.count("*").alias("_copies")
+    ).filter("_stays").checkpoint()
+    keyed = docs.withColumn("_sha", F.sha2(ascii_lower(F.col(text_col)), 256)).withColumn("_kept_id", F.col(id_col))
+    match = lambda rows: [keyed["_kept_id"].eqNullSafe(rows["_kept_id"]), keyed["_sha"] == rows["_sha"]]
+    once, repeated = kept.filter("_copies = 1"), kept.filter("_copies > 1")
+    stay = keyed.join(once, match(once), "left_semi")
+    if not repeated.isEmpty():
+        stay = stay.unionByName(keyed.join(repeated, match(repeated), "left_semi").dropDuplicates(same))
+    return stay.drop(*same)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fertility, license_scan, secret_scan
+from . import bpe, exact_dedup, fertility, license_scan, packing, quality_gbt, secret_scan, simhash, substring_dedup, tool_calls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.exchanges(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(calls, results, tool_calls.EXCHANGE_TOOLS)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("repo", F.concat_ws("/", "source", "lang"))
     return secret_scan.secret_scan(docs, repo_col="repo", owner_col="source").drop("live")
@@ -32,14 +49,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_bpe": op1_bpe,
-    "op3_license_scan": op3_license_scan,
-    "op7_secret_scan": op7_secret_scan,
-    "op8_exact_dedup": op8_exact_dedup,
-    "op10_fertility_rules": op10_fertility_rules,
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_simhash, op3_license_scan, op4_quality_trees, op5_substring_dedup, op6_tool_calls, op7_secret_scan,
+        op8_exact_dedup, op9_packing, op10_fertility_rules,
+    )
 }
