@@ -148,10 +148,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = rows.select("id", "t1", F.xxhash64(F.lit(1), "text").alias("t2")).distinct()
     first = keyed.groupBy("t1", "t2").agg(F.min("id").alias("first"))
     classes = keyed.join(first, ["t1", "t2"]).select("id", "t1", "first").checkpoint()
-    own = rows.join(classes.filter("id = first").select("id", "t1"), ["id", "t1"]).select("id", "t1", "text")
-    found = own.mapInArrow(anchors, "hash long, id long, t1 long, at int")
+    # Anchors are taken from the scan, copies' too, so that texts are shuffled once, for their windows and the outcome.
+    found = rows.select("id", "t1", "text").mapInArrow(anchors, "hash long, id long, t1 long, at int")
     shared = found.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("hash")
-    marked = found.join(shared, "hash", "left_semi").groupBy("id", "t1").agg(F.collect_list("at").alias("at"))
+    marked = found.join(shared, "hash", "left_semi").groupBy("id", "t1").agg(F.collect_set("at").alias("at"))
+    marked = marked.join(classes.filter("id = first").select("id", "t1"), ["id", "t1"], "left_semi")
     # Windows are judged in two steps from this table, so its few rows are written once.
     marked = marked.checkpoint()
     near = rows.join(marked, ["id", "t1"]).select("id", "t1", "text", "at").mapInArrow(windows, "h1 long, h2 long, id long, t1 long, pos int")
