@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, prepare
+from .common import as_text, prepare, release
 
 WINDOW = 50
 #: A difference cover: the differences of COVER modulo PERIOD are all of 0 to PERIOD - 1.
@@ -134,6 +134,17 @@ def _finisher(with_text: bool):  # noqa: ANN202
     return finish
 
 
+def _marked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, t1, at: the anchors of each text, one of its exact copies, that documents of different ids share; written once.
+
+    Anchors are taken from the scan, copies' too, so that texts are shuffled once, for their windows and the outcome.
+    """
+    found = rows.select("id", "t1", "text").mapInArrow(anchors, "hash long, id long, t1 long, at int")
+    shared = found.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("hash")
+    marked = found.join(shared, "hash", "left_semi").groupBy("id", "t1").agg(F.collect_set("at").alias("at"))
+    return marked.join(classes.filter("id = first").select("id", "t1"), ["id", "t1"], "left_semi").checkpoint()
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless with_text).
 
@@ -148,13 +159,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = rows.select("id", "t1", F.xxhash64(F.lit(1), "text").alias("t2")).distinct()
     first = keyed.groupBy("t1", "t2").agg(F.min("id").alias("first"))
     classes = keyed.join(first, ["t1", "t2"]).select("id", "t1", "first").checkpoint()
-    # Anchors are taken from the scan, copies' too, so that texts are shuffled once, for their windows and the outcome.
-    found = rows.select("id", "t1", "text").mapInArrow(anchors, "hash long, id long, t1 long, at int")
-    shared = found.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("hash")
-    marked = found.join(shared, "hash", "left_semi").groupBy("id", "t1").agg(F.collect_set("at").alias("at"))
-    marked = marked.join(classes.filter("id = first").select("id", "t1"), ["id", "t1"], "left_semi")
-    # Windows are judged in two steps from this table, so its few rows are written once.
-    marked = marked.checkpoint()
+    marked = _marked(rows, classes)
+    release(docs.sparkSession)
     near = rows.join(marked, ["id", "t1"]).select("id", "t1", "text", "at").mapInArrow(windows, "h1 long, h2 long, id long, t1 long, pos int")
     least = near.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("h1", "h2", "low")
     gone = near.join(least, ["h1", "h2"]).filter("id > low").groupBy("id", "t1").agg(F.collect_list("pos").alias("pos"))
