@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 
@@ -36,10 +35,3 @@ def ascii_lower(text: Column) -> Column:
 
 def as_text(value: str | None) -> str:
     return value or ""
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are checkpointed: it does so once the driver has collected the
-    garbage that names them, which may else take long. Saves disk, changes nothing else."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
