@@ -353,3 +353,19 @@ def test_quality_rules(docs):
     found = fertility.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
     same(found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect(), wanted)
     assert found.filter("base_failed and kept").count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "", " ", "a  b\n\n c\t", "don't I'LL 123abc x", "<|endoftext|> and <|endoftext|>", "\u0001\x7f­ é 漢字 \U0001f600", "a" * 20_000, " " * 20_000, "word " * 5_000,
+])
+def test_ids_are_those_of_tokenizers(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = packing.Ids(open(path, encoding="utf-8").read())
+    assert ids.ranked
+    assert ids.encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_only_of_plain_byte_level_bpe():
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    assert packing.byte_ranks(json.dumps(spec)) is None
