@@ -8,6 +8,8 @@ only one owner has looks like a live credential.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,27 +19,27 @@ from .common import prepare
 
 @dataclass(frozen=True)
 class Kind:
-    """pattern: Java regular expression. group: of the value. least: characters that the value needs. hint: a literal
-    that every match holds, searched for before the pattern is tried."""
+    """pattern: Java regular expression. group: of the value. least: characters that the value needs. hints: literals of
+    which every match holds one at least, searched for before the pattern is tried."""
 
     name: str
     pattern: str
     group: int = 0
     least: int = 0
-    hint: str = ""
+    hints: tuple[str, ...] = ()
 
 
 # The base patterns.
 BASE = (
     Kind("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)""", 2, 6),
-    Kind("access", r"AKIA[A-Z0-9]{16,}+", hint="AKIA"),
+    Kind("access", r"AKIA[A-Z0-9]{16,}+", hints=("AKIA",)),
     Kind("hex", r"[0-9a-f]{24,}+"),
 )
 # Formats of further credentials, as their issuers document them.
 MORE = (
-    Kind("vendor", r"(?:gh[pousr]_|glpat-|sk_live_|xox[abprs]-)[A-Za-z0-9_-]{16,}+", hint="_"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", hint="eyJ"),
-    Kind("key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    Kind("vendor", r"(?:gh[pousr]_|glpat-|sk_live_|xox[abprs]-)[A-Za-z0-9_-]{16,}+", hints=("_", "glpat-", "xox")),
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", hints=("eyJ",)),
+    Kind("key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", hints=("PRIVATE KEY-----",)),
 )
 KINDS = BASE + MORE
 
@@ -70,8 +72,8 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
     found = F.aggregate(parts, start, step, lambda s: s["spans"])
     there = text.rlike(kind.pattern)
-    if kind.hint:
-        there = text.contains(kind.hint) & there
+    if kind.hints:
+        there = reduce(or_, [text.contains(h) for h in kind.hints]) & there
     return F.when(there, found).otherwise(F.array().cast(SPAN))
 
 

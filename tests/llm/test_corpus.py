@@ -290,6 +290,15 @@ def test_secrets_ownership(spark):
     assert {r.doc_id: (r.n_example, r.n_live) for r in found} == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (0, 1), 4: (0, 1)}
 
 
+@pytest.mark.parametrize("token", ["glpat-Ab1Cd2Ef3Gh4Ij5Kl6", "xoxb-123456789012-AbCdEfGhIjKl", "ghp_Ab1Cd2Ef3Gh4Ij5Kl6", "sk_live_Ab1Cd2Ef3Gh4Ij5Kl6"])
+def test_vendor_tokens(spark, token):
+    """Also those of texts without an underscore."""
+    frame = spark.createDataFrame([(1, f"use {token} here", "r", "o")], "doc_id long, text string, repo string, owner string")
+    found = secret_scan.secret_scan(frame).first()
+    assert (found.spans, found.n_live) == (f"vendor:4:{4 + len(token)}", 1)
+    assert secret_scan.redact(frame).first().text == "use [SECRET] here"
+
+
 @pytest.mark.parametrize("support", [exact_dedup.SUPPORT, 0.01])
 def test_exact_dedup(docs, support):
     groups = {}
