@@ -20,15 +20,28 @@ from .common import prepare
 @dataclass(frozen=True)
 class Kind:
     """pattern: Java regular expression. group: of the value. least: characters that the value needs. hints: literals of
-    which every match holds one at least, searched for before the pattern is tried."""
+    which every match holds one at least, searched for before the pattern is tried. noise: what is taken out of the value
+    before it is hashed."""
 
     name: str
     pattern: str
     group: int = 0
     least: int = 0
     hints: tuple[str, ...] = ()
-
-
+    noise: str = ""
+
+
+#: White space, also escaped as in JSON.
+GAP = r"(?:\s|\\+[nrt])"
+#: A private key from its BEGIN line to its END line, or to the end of its base64 lines if END is missing; its headers aren't
+#: part of the value. A short line ends such a run if it stands alone. Groups repeat possessively, as the others use up the stack.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"(?:{GAP}*+[A-Z][A-Za-z]*+(?:-[A-Za-z]++)++:\x20[^\r\n\\]*+(?=[\r\n\\]))*+"
+    r"([^-]*+(?=-----END [A-Z ]{0,30}PRIVATE KEY-----)"
+    rf"|(?:{GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:{GAP}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\x20\t]*+(?:[\r\n\\\"']|\z)))?+)"
+    r"(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
+)
 # The base patterns.
 BASE = (
     Kind("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)""", 2, 6),
@@ -39,7 +52,7 @@ BASE = (
 MORE = (
     Kind("vendor", r"(?:gh[pousr]_|glpat-|sk_live_|xox[abprs]-)[A-Za-z0-9_-]{16,}+", hints=("_", "glpat-", "xox")),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", hints=("eyJ",)),
-    Kind("key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", hints=("PRIVATE KEY-----",)),
+    Kind("key", PEM, 1, hints=("PRIVATE KEY-----",), noise=rf"{GAP}++"),
 )
 KINDS = BASE + MORE
 
@@ -57,6 +70,8 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     pattern = F.lit(kind.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(kind.group)) if kind.group else matches
+    if kind.noise:
+        values = F.transform(values, lambda v: F.regexp_replace(v, kind.noise, ""))
     parts = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), matches.alias("match"), values.alias("value"))
 
     def step(state: Column, part: Column) -> Column:

@@ -299,6 +299,28 @@ def test_vendor_tokens(spark, token):
     assert secret_scan.redact(frame).first().text == "use [SECRET] here"
 
 
+def pem(seed, lines=12, end=True, gap="\n", headers=""):
+    body = base64.b64encode(b"".join(hashlib.sha512(f"{seed} {k}".encode()).digest() for k in range(lines))).decode()
+    parts = ["-----BEGIN RSA PRIVATE KEY-----" + headers, *(body[k : k + 64] for k in range(0, len(body), 64))]
+    return gap.join(parts + ["-----END RSA PRIVATE KEY-----"] * end)
+
+
+def test_private_keys(spark):
+    """A key is its body: different keys of many owners are live, one key of many owners is an example, and bodies are masked whole."""
+    live = [pem(0), pem(1, end=False), pem(2, gap="\\n"), pem(3, headers="\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n"), pem(4, 20_000), pem(5, 20_000, False), pem(6, gap="\r\n")]
+    rows = [(i, f"see {key}\n\nthe end - of it", "r", f"o{i}") for i, key in enumerate(live)]
+    rows += [(10 + i, pem("shared", gap=gap), "r", f"o{i}") for i, gap in enumerate(["\n", "\r\n", "\\n"])]
+    rows += [(20, pem(7) + "\n" + pem(8), "r", "o"), (21, "-----BEGIN PRIVATE KEY----- starts a key, which is secret", "r", "o")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    found = {r.doc_id: [x for x in r.live if x.kind == "key"] for r in secret_scan.secret_scan(frame).collect()}
+    for i, key in enumerate(live):
+        assert [(x.start, x.end) for x in found[i]] == [(4, 4 + len(key))]
+    assert [len(found[i]) for i in (10, 11, 12, 20, 21)] == [0, 0, 0, 2, 1]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(frame).collect()}
+    assert {clean[i] for i in range(len(live))} == {"see [SECRET]\n\nthe end - of it"}
+    assert clean[20] == "[SECRET]\n[SECRET]" and clean[21] == "[SECRET] starts a key, which is secret"
+
+
 @pytest.mark.parametrize("support", [exact_dedup.SUPPORT, 0.01])
 def test_exact_dedup(docs, support):
     groups = {}
