@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from kinspark.llm import bpe, exact_dedup, fertility, license_scan, packing, quality_gbt, secret_scan, simhash, substring_dedup, tool_calls
+from kinspark.llm import bpe, exact_dedup, fertility, license_scan, packing, quality_gbt, queries, secret_scan, simhash, substring_dedup, tool_calls
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -386,6 +386,21 @@ def test_quality_rules(docs):
     assert found.filter("base_failed and kept").count() == 0
 
 
+def test_fertility_rejects_junk(spark):
+    """Of the labelled documents that pass the base rules, held-out ones included, junk goes and good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    found = {r.doc_id: r for r in queries.op10_fertility_rules(spark, sf).collect()}
+    kept = {q: [found[r.doc_id].kept for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == q and not found[r.doc_id].base_failed] for q in (0, 1)}
+    assert len(kept[0]) > 20 and np.mean(kept[0]) <= 0.15
+    assert len(kept[1]) > 300 and np.mean(kept[1]) >= 0.95
+    assert all((r.chars_per_byte_token is None) == (r.n_tokens == 0) for r in found.values())
+
+
+def test_fertility_bands_without_labels(docs, spark):
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    assert fertility.fit_bands(docs, labels, public_tokenizers.path("piece_bpe_32k.model")) == fertility.BANDS
+
+
 @pytest.mark.parametrize("text", [
     "", " ", "a  b\n\n c\t", "don't I'LL 123abc x", "<|endoftext|> and <|endoftext|>", "\u0001\x7f­ é 漢字 \U0001f600", "a" * 20_000, " " * 20_000, "word " * 5_000,
 ])
