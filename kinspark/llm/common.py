@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows in one Arrow batch. Texts are long, so the default of 10,000 rows would hold too much at once.
 BATCH_ROWS = 500
+#: A group with at least this share of the rows is hot; at most 1/SUPPORT groups are.
+SUPPORT = 1 / 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder where the cluster names none (tests, a laptop)."""
+    """Small Arrow batches, and the checkpoint folder that the session names in spark.checkpoint.dir."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "kinspark-checkpoints"))
+        if not shared:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared)
     return spark
 
 
@@ -33,5 +34,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, support: float = SUPPORT) -> DataFrame:
+    """rows, left-joined with a table of groups that has one row for some keys and the group's number of rows in `size`.
+
+    Hot groups, at most 1/support, are broadcast, so that their rows are joined where they lie; the others are shuffled. Rows are
+    read more than once: hand in a checkpoint or a plain scan.
+    """
+    least = max(1, rows.count()) * support
+    hot = groups.filter(F.col(size) >= least).checkpoint()
+    light = groups.filter(F.col(size) < least)
+    if hot.isEmpty():
+        return rows.join(light, keys, "left")
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(light, keys, "left")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def as_text(value: str | None) -> str:
     return value or ""

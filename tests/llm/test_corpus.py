@@ -206,6 +206,22 @@ def test_substring_dedup_shifts(spark):
     same(substring_dedup.substring_dedup(frame).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute_substring(list(enumerate(texts))))
 
 
+@pytest.mark.parametrize("slots", [16, 1 << 12])
+def test_substring_dedup_hot_passage(spark, slots):
+    """Passages of very many documents, some repeated within one, with ids that do not come in order, and tables that forget."""
+    rng = np.random.default_rng(2)
+    shared = [" ".join(f"p{k}w{i}" for i in range(70)) for k in range(4)] + ["same " * 90]
+    texts = []
+    for d in range(300):
+        own = lambda n: " ".join(f"d{d}x{k}" for k in rng.integers(0, 1000, n))  # noqa: B023, E731
+        picks = rng.choice(5, 2)
+        texts.append(" ".join([own(rng.integers(0, 40)), shared[picks[0]], own(rng.integers(0, 9)), shared[picks[1]]]))
+    texts += texts[:3] + [texts[5] + " more"]
+    rows = list(zip(rng.permutation(len(texts)).tolist(), texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(substring_dedup.substring_dedup(frame, slots=slots).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute_substring(rows))
+
+
 def test_difference_cover():
     cover = substring_dedup.COVER
     assert {(a - b) % substring_dedup.PERIOD for a in cover for b in cover} == set(range(substring_dedup.PERIOD))
