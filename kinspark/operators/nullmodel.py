@@ -1,58 +1,228 @@
 """Null models: what a score test needs that does not depend on a variant.
 
-A model holds a sparse precision as triplets (i, j, ...), a row of weights per individual, and small arrays of the size of the
-covariates. Families (blocks) are inverted one by one in tasks; only sums over individuals reach the driver.
+People and the relatedness of their families are dealt to buckets of whole families. Tasks hold one bucket at a time and return sums of the
+size of the covariates, or a row per person; the driver only solves systems of that size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import families as fam
+
+#: People of one bucket, about.
+BUCKET_PEOPLE = 2000
+#: People of one block at most: its matrices are dense in a task.
+MOST_IN_BLOCK = 1000
+MEMBERS = "iid long, bucket int, block long, w array<double>, f array<double>"
+
 
 @dataclass
 class NullModel:
-    """kind: "single" or "joint". weights: iid and a column per linear functional. triplets: i, j and a column per quadratic form."""
+    """kind: "single" or "joint". members: a row per person, with linear weights `w`, and in `f` the person's rows of the
+    quadratic forms over the block. arrays: as families.solve_sums."""
 
     kind: str
-    weights: DataFrame
-    triplets: DataFrame
+    members: DataFrame
     arrays: dict[str, np.ndarray]
-    components: dict[str, float]
+    variances: fam.Variances
+    p: int
+    n: int
 
+    @property
+    def n_forms(self) -> int:
+        return 1 if self.kind == "single" else 3
 
-def _design(columns: list[str]) -> list[Column]:
-    return [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    @property
+    def components(self) -> dict[str, float]:
+        pairs = {"s": self.variances.s, "t": self.variances.t, "ts": self.variances.ts}
+        return {f"{n}_{k}": v for k, pair in pairs.items() if pair for n, v in zip(("tau", "sigma"), pair)}
 
 
-def _sums(rows: DataFrame, left: list[Column], right: list[Column]) -> np.ndarray:
-    """The matrix of sums of products, in one aggregation."""
-    aggs = [F.sum(a * b).alias(f"s{k}_{m}") for k, a in enumerate(left) for m, b in enumerate(right)]
-    return np.array([0.0 if v is None else v for v in rows.agg(*aggs).first()]).reshape(len(left), len(right))
+def sum_arrays(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """Arrays of equal length added up place by place: pos, total (and by)."""
+    return rows.select(*(by or []), F.posexplode(column).alias("pos", "v")).groupBy(*(by or []), "pos").agg(F.sum("v").alias("total"))
 
 
-def _dot(values: np.ndarray, columns: list[Column]) -> Column:
-    total = F.lit(0.0)
-    for v, c in zip(values, columns):
-        total = total + F.lit(float(v)) * c
-    return total
+def collected_sum(rows: DataFrame, column: str) -> np.ndarray:
+    """The sum on the driver; for arrays of the size of the covariates."""
+    return np.array([r["total"] for r in sum_arrays(rows, column).orderBy("pos").collect()])
+
+
+@dataclass
+class Prepared:
+    people: DataFrame  # iid, bucket, block, x0.., s, t
+    entries: DataFrame | None  # i, j, k, bucket
+    p: int
+    n: int
+
+
+def prepared(people: DataFrame, grm: DataFrame | None, xs: list[str], surrogate: str, target: str | None, block: str | None, covariance: str) -> Prepared:
+    """People and entries dealt to buckets. Covariates are centred; the intercept is x0. Raises on missing covariates or
+    surrogates, on repeated ids, and on entries between blocks."""
+    if covariance == "grm" and grm is None:
+        raise ValueError("covariance='grm' needs a relatedness matrix")
+    if covariance == "grm" and block is None:
+        from .blocks import blocks
+
+        people = people.join(blocks(people.select("iid"), grm).withColumnRenamed("block_id", "_block"), "iid")
+        block = "_block"
+    own = F.col(block) if covariance == "grm" else F.col("iid")
+    known = F.lit(None).cast("double") if target is None else F.col(target).cast("double")
+    rows = people.select(
+        F.col("iid").cast("long"), own.cast("long").alias("block"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(xs, 1)],
+        F.col(surrogate).cast("double").alias("s"), F.when(~F.isnan(known), known).alias("t"),
+    ).checkpoint()
+    needed = [f"x{k}" for k in range(1, len(xs) + 1)] + ["s"]
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in needed])
+    row = rows.agg(F.count("*"), F.count_if(bad), F.countDistinct("iid"), *[F.avg(c) for c in needed[:-1]]).first()
+    n = row[0]
+    if row[1] or row[2] != n or not n:
+        raise ValueError(f"{row[1]} of {n} people miss a covariate or the response; {row[2]} ids are distinct")
+    buckets = max(1, -(-n // BUCKET_PEOPLE))
+    bucket = F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")
+    centred = [(F.col(c) - F.lit(m)).alias(c) for c, m in zip(needed, row[3:])]
+    dealt = rows.select("iid", bucket.alias("bucket"), "block", F.lit(1.0).alias("x0"), *centred, "s", "t")
+    if covariance != "grm":
+        return Prepared(dealt, None, len(xs) + 1, n)
+    left, right = (dealt.select(F.col("iid").alias(i), F.col("block").alias(f"block_{i}"), "bucket") for i in "ij")
+    entries = grm.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("k").cast("double")).join(left, "i").join(right.drop("bucket"), "j")
+    # an alias of its own, as both sides of a cogroup come from one table
+    entries = entries.select("i", "j", "k", F.col("bucket").alias("bucket"), (F.col("block_i") != F.col("block_j")).alias("crosses")).checkpoint()
+    return Prepared(dealt, entries, len(xs) + 1, n)
+
+
+def _columns(table: pa.Table, names: list[str]) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def _bucket(people: pa.Table, entries: pa.Table | None, p: int) -> tuple[pa.Table, list[fam.Stack], np.ndarray, np.ndarray]:
+    """People sorted by block and id, the stacks, z (x, s, t) and who has a target."""
+    people = people.sort_by([("block", "ascending"), ("iid", "ascending")])
+    iid, block, t = _columns(people, ["iid", "block", "t"])
+    largest = int(fam.runs(block)[1].max(initial=0))
+    if largest > MOST_IN_BLOCK:
+        raise ValueError(f"a block has {largest} people; find blocks with blocks.adaptive_blocks, which has {MOST_IN_BLOCK} at most")
+    related = None
+    if entries is not None:
+        if entries.num_rows and any(entries.column("crosses").to_pylist()):
+            raise ValueError("the relatedness matrix has entries between blocks: drop them, or pass block=None to have blocks found")
+        related = tuple(_columns(entries, ["i", "j", "k"]))
+    seen = ~np.isnan(t.astype(float))
+    z = np.column_stack([*_columns(people, [f"x{k}" for k in range(p)] + ["s"]), np.where(seen, t, 0.0)]).astype(float)
+    return people, fam.stacks(iid, block, related), z, seen
+
+
+def _by_bucket(ready: Prepared, work, schema: str) -> DataFrame:  # noqa: ANN001
+    """work(people, entries or None) -> table, for each bucket."""
+    if ready.entries is None:
+        return ready.people.groupBy("bucket").applyInArrow(lambda people: work(people, None), schema)
+    return ready.people.groupBy("bucket").cogroup(ready.entries.groupBy("bucket")).applyInArrow(work, schema)
+
+
+def gathered(ready: Prepared) -> tuple[fam.Moments, fam.Moments]:
+    """Moments of all people, and of those with a target."""
+    p = ready.p
+
+    def sums(people: pa.Table, entries: pa.Table | None) -> pa.Table:
+        _, stacks, z, seen = _bucket(people, entries, p)
+        return pa.table({"sums": pa.array([fam.moment_sums(stacks, z, seen)], pa.list_(pa.float64()))})
+
+    return fam.Moments.of(collected_sum(_by_bucket(ready, sums, "sums array<double>"), "sums"), p + 2)
+
+
+def _model(kind: str, ready: Prepared, variances: fam.Variances, turn: np.ndarray) -> NullModel:
+    """turn: weights of z's columns that give the residual of s, and of t (columns)."""
+    p = ready.p
+
+    def work(people: pa.Table, entries: pa.Table | None) -> pa.Table:
+        people, stacks, z, seen = _bucket(people, entries, p)
+        e = z @ turn
+        e[~seen, 1:] = 0
+        z = np.concatenate((z[:, :p], e), axis=1)
+        w, parts = fam.weights(stacks, z, seen, variances, p)
+        n, rows = len(z), fam.flat_rows(stacks, parts, len(z))
+        # One more row, without an id, has the bucket's sums of x'w.
+        total = (z[:, :p].T @ w).ravel()
+        bucket = people.column("bucket").to_pylist()
+        return pa.table({
+            "iid": pa.array([*people.column("iid").to_pylist(), None], pa.int64()),
+            "bucket": pa.array([*bucket, bucket[0] if bucket else 0], pa.int32()),
+            "block": pa.array([*people.column("block").to_pylist(), None], pa.int64()),
+            "w": pa.array([*list(w), total], pa.list_(pa.float64())),
+            "f": pa.concat_arrays([rows, pa.array([[]] if n else [None], pa.list_(pa.float64()))]),
+        })
+
+    done = _by_bucket(ready, work, MEMBERS).checkpoint()
+    xw = collected_sum(done.filter("iid is null"), "w").reshape(p, -1)
+    return NullModel(kind, done.filter("iid is not null"), fam.solve_sums(xw, p), variances, p, ready.n)
+
+
+def fit_single(
+    people: DataFrame, grm: DataFrame | None, xs: list[str], response: str, covariance: str = "grm", floor: float | None = None, block: str | None = "family",
+) -> NullModel:
+    """One response, known in all rows of people (iid, block, xs, response). covariance: "grm", "diag" (variance over n - 1) or
+    "ols" (over n - p). block: the column of the family; None to have blocks found in the matrix."""
+    ready = prepared(people, grm, xs, response, None, block, covariance)
+    every, _ = gathered(ready)
+    p = ready.p
+    e = fam.residual(every.zz, p, p)
+    if covariance == "grm":
+        s = every.pair(e, e, floor)
+    else:
+        s = (0.0, float(e @ every.zz @ e) / (ready.n - (1 if covariance == "diag" else p)))
+    turn = np.zeros((p + 2, 1))
+    turn[:, 0] = e
+    return _model("single", ready, fam.Variances(s), turn)
+
+
+def joint_variances(every: fam.Moments, seen: fam.Moments, e_s: np.ndarray, e_t: np.ndarray, covariance: str, floor: float | None) -> fam.Variances:
+    if covariance == "grm":
+        return fam.Variances(every.pair(e_s, e_s), seen.pair(e_t, e_t, floor), seen.pair(e_s, e_t))
+    # residuals have mean 0 among those that they were fitted on, so the covariance needs no centring of the other side
+    return fam.Variances(
+        (0.0, float(e_s @ every.zz @ e_s) / (every.n - 1)), (0.0, float(e_t @ seen.zz @ e_t) / (seen.n - 1)), (0.0, float(e_s @ seen.zz @ e_t) / (seen.n - 1)),
+    )
+
+
+def fit_joint(
+    people: DataFrame, grm: DataFrame | None, xs: list[str], floor: float | None = 0.01, block: str | None = "family", covariance: str = "grm",
+    target: str = "y_obs", surrogate: str = "s",
+) -> NullModel:
+    """Target, null where unknown, and complete surrogate. Covariances between the two are aligned by id. covariance: "grm" or "diag"."""
+    ready = prepared(people, grm, xs, surrogate, target, block, covariance)
+    every, seen = gathered(ready)
+    p = ready.p
+    e_s, e_t = fam.residual(every.zz, p, p), fam.residual(seen.zz, p, p + 1)
+    return _model("joint", ready, joint_variances(every, seen, e_s, e_t, covariance, floor), np.stack((e_s, e_t), axis=1))
+
+
+def _design(columns: list[str]) -> list[Column]:
+    return [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
 
 
 def ols(rows: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Coefficients, inverse of X'X, and the number of rows."""
-    design = _design(xs)
-    both = _sums(rows, design, [*design, F.col(y)])
-    inverse = np.linalg.inv(both[:, :-1])
-    return inverse @ both[:, -1], inverse, round(both[0, 0])
+    """Coefficients, inverse of X'X, and the number of rows, in one aggregation."""
+    names, columns = len(xs) + 1, [*_design(xs), F.col(y).cast("double")]
+    pairs = [(a, b) for a in range(names + 1) for b in range(a + 1)]
+    row = rows.agg(*[F.sum(columns[a] * columns[b]) for a, b in pairs]).first()
+    both = np.zeros((names + 1, names + 1))
+    for (a, b), v in zip(pairs, row):
+        both[a, b] = both[b, a] = v or 0.0
+    inner = np.linalg.inv(both[:names, :names])
+    return inner @ both[:names, names], inner, round(both[0, 0])
 
 
 def residuals(rows: DataFrame, y: str, xs: list[str], into: str) -> DataFrame:
     alpha, _, _ = ols(rows, y, xs)
-    return rows.withColumn(into, F.col(y) - _dot(alpha, _design(xs)))
+    fitted = reduce(lambda a, b: a + b, [F.lit(float(v)) * c for v, c in zip(alpha, _design(xs))])
+    return rows.withColumn(into, F.col(y) - fitted)
 
 
 def moments(grm: DataFrame, left: DataFrame, right: DataFrame, floor: float | None = None) -> tuple[float, float]:
@@ -68,109 +238,3 @@ def moments(grm: DataFrame, left: DataFrame, right: DataFrame, floor: float | No
     tau = row[0] / row[1]
     sigma = (row[3] - tau * row[2]) / row[4]
     return tau, sigma if floor is None else max(sigma, floor)
-
-
-def _inverted(matrix: np.ndarray) -> np.ndarray:
-    np.linalg.cholesky(matrix)  # raises where the covariance is not positive definite
-    return np.linalg.inv(matrix)
-
-
-def _dense(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.unique(np.concatenate((group["i"].to_numpy(), group["j"].to_numpy())))
-    k = np.zeros((len(ids), len(ids)))
-    k[np.searchsorted(ids, group["i"]), np.searchsorted(ids, group["j"])] = group["k"]
-    return ids, k
-
-
-def _triplets(ids: np.ndarray, **forms: np.ndarray) -> pd.DataFrame:
-    keep = np.nonzero(np.any([m != 0 for m in forms.values()], axis=0))
-    return pd.DataFrame({"i": ids[keep[0]], "j": ids[keep[1]], **{name: m[keep] for name, m in forms.items()}})
-
-
-def by_block(people: DataFrame, grm: DataFrame, block: str) -> DataFrame:
-    """Entries with the block of their row; entries between blocks are not kept."""
-    rows, columns = people.select(F.col("iid").alias("i"), F.col(block).alias("block")), people.select(F.col("iid").alias("j"), F.col(block).alias("block"))
-    return grm.join(rows, "i").join(columns, ["j", "block"])
-
-
-def fit_single(
-    people: DataFrame, grm: DataFrame | None, xs: list[str], response: str, covariance: str = "grm", floor: float | None = None, block: str = "family",
-) -> NullModel:
-    """One response, known in all rows of people (iid, block, xs, response). covariance: "grm", "diag" (variance over n - 1) or
-    "ols" (over n - p)."""
-    design, p = _design(xs), len(xs) + 1
-    data = residuals(people, response, xs, "e").checkpoint()
-    if covariance == "grm":
-        e = data.select("iid", "e")
-        tau, sigma = moments(grm, e, e, floor)
-
-        def invert(group: pd.DataFrame) -> pd.DataFrame:
-            ids, k = _dense(group)
-            return _triplets(ids, q=_inverted(tau * k + sigma * np.eye(len(ids))))
-
-        triplets = by_block(data, grm, block).groupBy("block").applyInPandas(invert, "i long, j long, q double")
-    else:
-        rss, n = data.agg(F.sum(F.col("e") * F.col("e")), F.count("*")).first()
-        tau, sigma = 0.0, rss / (n - (1 if covariance == "diag" else p))
-        triplets = data.select(F.col("iid").alias("i"), F.col("iid").alias("j"), F.lit(1 / sigma).alias("q"))
-    triplets = triplets.checkpoint()
-    right = data.select(F.col("iid").alias("j"), F.col(response).alias("_y"), *[c.alias(f"_x{k}") for k, c in enumerate(design)])
-    sums = [F.sum(F.col("q") * F.col(f"_x{k}")).alias(f"a{k}") for k in range(p)]
-    weights = triplets.join(right, "j").groupBy("i").agg(F.sum(F.col("q") * F.col("_y")).alias("qy"), *sums).withColumnRenamed("i", "iid").checkpoint()
-    a = [F.col(f"a{k}") for k in range(p)]
-    both = _sums(data.join(weights, "iid"), a, [*design, F.col(response)])
-    inner = np.linalg.inv(both[:, :-1])
-    beta = inner @ both[:, -1]
-    weights = weights.select("iid", (F.col("qy") - _dot(beta, a)).alias("u"), *a)
-    return NullModel("single", weights, triplets, {"inner": inner}, {"tau": tau, "sigma": sigma})
-
-
-def fit_joint(
-    people: DataFrame, grm: DataFrame | None, xs: list[str], floor: float | None = 0.01, block: str = "family", covariance: str = "grm",
-    target: str = "y_obs", surrogate: str = "s",
-) -> NullModel:
-    """Target, null where unknown, and complete surrogate. Covariances between the two are aligned by id."""
-    design, p = _design(xs), len(xs) + 1
-    observed = residuals(people.filter(F.col(target).isNotNull()), target, xs, "e").checkpoint()
-    data = residuals(people, surrogate, xs, "e").checkpoint()
-    e_t, e_s = observed.select("iid", "e"), data.select("iid", "e")
-    if covariance == "grm":
-        own = {"t": moments(grm, e_t, e_t, floor), "s": moments(grm, e_s, e_s), "ts": moments(grm, e_s.join(e_t.select("iid"), "iid", "left_semi"), e_t)}
-    else:
-        both = e_t.join(e_s.withColumnRenamed("e", "f"), "iid").agg(F.covar_samp("e", "f"), F.var_samp("e")).first()
-        own = {"t": (0.0, both[1]), "s": (0.0, e_s.agg(F.var_samp("e")).first()[0]), "ts": (0.0, both[0])}
-        grm = people.select(F.col("iid").alias("i"), F.col("iid").alias("j"), F.lit(1.0).alias("k"))
-        people, block = people.withColumn("_self", F.col("iid")), "_self"
-    (tau_t, sig_t), (tau_s, sig_s), (tau_x, sig_x) = own["t"], own["s"], own["ts"]
-
-    def invert(group: pd.DataFrame) -> pd.DataFrame:
-        ids, k = _dense(group)
-        seen = np.zeros(len(ids), bool)
-        seen[np.searchsorted(ids, group.loc[group["known"], "i"])] = True
-        o, eye = np.flatnonzero(seen), np.eye(len(ids))
-        q = _inverted(tau_s * k + sig_s * eye)
-        v, h = np.zeros_like(k), np.zeros_like(k)
-        if len(o):
-            cross = (tau_x * k + sig_x * eye)[o]
-            d = cross @ q
-            inner = _inverted((tau_t * k + sig_t * eye)[np.ix_(o, o)] - d @ cross.T)
-            v[np.ix_(o, o)], h[o] = inner, inner @ d
-        return _triplets(ids, q=q, v=v, h=h, ht=h.T)
-
-    known = people.select(F.col("iid").alias("i"), F.col(target).isNotNull().alias("known"))
-    entries = by_block(people, grm, block).join(known, "i")
-    triplets = entries.groupBy("block").applyInPandas(invert, "i long, j long, q double, v double, h double, ht double").checkpoint()
-    y, s = F.coalesce("_y", F.lit(0.0)), F.col("_s")
-    right = data.select(F.col("iid").alias("j"), F.col(target).alias("_y"), F.col(surrogate).alias("_s"), *[c.alias(f"_x{k}") for k, c in enumerate(design)])
-    x = [F.col(f"_x{k}") for k in range(p)]
-    q, v, h, ht = (F.col(c) for c in ("q", "v", "h", "ht"))
-    sums = [F.sum(q * s).alias("b"), F.sum(v * y - h * s).alias("w")]
-    for k, c in enumerate(x):
-        sums += [F.sum(q * c).alias(f"a{k}"), F.sum(v * c).alias(f"c{k}"), F.sum(h * c).alias(f"l{k}"), F.sum(ht * c).alias(f"z{k}")]
-    weights = triplets.join(right, "j").groupBy("i").agg(*sums).withColumnRenamed("i", "iid").checkpoint()
-    names = ["b", "w", *[f"{n}{k}" for n in "acl" for k in range(p)]]
-    total = _sums(data.join(weights, "iid"), design, [F.col(n) for n in names])
-    arrays = {
-        "a22": np.linalg.inv(total[:, 2 : 2 + p]), "bx": total[:, 0], "vr": total[:, 1], "c": np.linalg.inv(total[:, 2 + p : 2 + 2 * p]), "vdx": total[:, 2 + 2 * p :],
-    }
-    return NullModel("joint", weights, triplets, arrays, {f"{n}_{c}": value for c, pair in own.items() for n, value in zip(("tau", "sigma"), pair)})

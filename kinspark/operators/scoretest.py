@@ -1,85 +1,173 @@
-"""Score tests of many variants: sums of dosages times weights, quadratic forms over the precision's triplets, then arithmetic per row."""
+"""Score tests of many variants.
+
+Dosages and people meet in tiles of some variants and the people of one bucket, or, where dosages come as one array per variant, in
+the variant's own row. Either way a variant ends up as one row of sums, from which its test follows by algebra on small arrays.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinspark.functions.normal import CHI2_MEDIAN, neg_log10_p
 
+from . import families as fam
 from .nullmodel import NullModel
 
 RESULT = ("snp", "t_score", "neg_log10_p", "beta", "var_beta")
+#: Variants of one tile, about.
+TILE_VARIANTS = 500
+#: A model up to this size is sent to all executors for dosages that come as arrays; beyond it they are taken apart.
+MOST_BYTES = 512 << 20
+#: Variants of an array batch that are worked on at once.
+BATCH_VARIANTS = 100
 
 
-def _dot(a: list[Column], b: list[Column]) -> Column:
-    total = F.lit(0.0)
-    for x, y in zip(a, b):
-        total = total + x * y
-    return total
+def dealt(genotype: DataFrame, members: DataFrame, variants: int | None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Dosages, and people repeated for each tile, with the columns tile and bucket."""
+    if variants is None:
+        variants = genotype.select(F.approx_count_distinct("snp")).first()[0]
+    tiles = max(1, -(-variants // TILE_VARIANTS))
+    tile = F.pmod(F.xxhash64("snp"), F.lit(tiles)).cast("int")
+    rows = genotype.join(members.select("iid", "bucket"), "iid").select(tile.alias("tile"), F.col("bucket").alias("bucket"), "snp", "iid", F.col("g").cast("double").alias("g"), *extra)
+    every = members.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    return rows, every
 
 
-def _times(matrix: np.ndarray, vector: list[Column]) -> list[Column]:
-    return [_dot([F.lit(float(m)) for m in row], vector) for row in matrix]
+def tile(genotype: pa.Table, people: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Table]:
+    """The variants of a tile, their dense dosages (variants x people), and people sorted by block and id."""
+    people = people.sort_by([("block", "ascending"), ("iid", "ascending")]).combine_chunks()
+    iid = people.column("iid").to_numpy()
+    snp = genotype.column("snp").combine_chunks().dictionary_encode()
+    snp = snp.combine_chunks() if isinstance(snp, pa.ChunkedArray) else snp
+    by_id = np.argsort(iid)
+    g = np.zeros((len(snp.dictionary), len(iid)))
+    at = by_id[np.searchsorted(iid[by_id], genotype.column("iid").to_numpy())]
+    g[snp.indices.to_numpy(), at] = genotype.column("g").fill_null(0.0).to_numpy()
+    return snp.dictionary, g, people
 
 
-def _lits(values: np.ndarray) -> list[Column]:
-    return [F.lit(float(v)) for v in values]
+def _flat(table: pa.Table, name: str) -> pa.ListArray:
+    column = table.column(name).combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _named(df: DataFrame, names: list[str], columns: list[Column]) -> DataFrame:
-    return df.select("*", *[c.alias(n) for n, c in zip(names, columns)])
+def sums_of(g: np.ndarray, people: pa.Table, n_forms: int) -> np.ndarray:
+    """For each variant g'w for all weights, then the quadratic forms."""
+    w = np.stack(people.column("w").to_numpy()) if people.num_rows else np.zeros((0, 0))
+    out = [g @ w]
+    found = fam.from_flat(people.column("block").to_numpy(), _flat(people, "f"), n_forms)
+    for f in range(n_forms):
+        out.append(sum(fam.quadratic(g, members, forms[f]) for members, forms in found)[:, None])
+    return np.concatenate(out, axis=1)
 
 
-def functionals(genotype: DataFrame, model: NullModel) -> DataFrame:
-    """snp, a column per weight and one per quadratic form. genotype: snp, iid, g without rows for dosages of 0.
+def _lists(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
-    Diagonal entries are one more weight, so only entries between relatives need a second look at the dosages.
-    """
-    forms = [c for c in model.triplets.columns if c not in ("i", "j", "ht")]
-    linear = [c for c in model.weights.columns if c != "iid"]
-    own = model.triplets.filter("i = j").select(F.col("i").alias("iid"), *[F.col(f).alias(f"d_{f}") for f in forms])
-    g = genotype.join(model.weights.join(own, "iid"), "iid")
-    ones = [F.sum(F.col("g") * F.col(c)).alias(c) for c in linear] + [F.sum(F.col("g") * F.col("g") * F.col(f"d_{f}")).alias(f"d_{f}") for f in forms]
-    sums = g.groupBy("snp").agg(*ones)
-    off = model.triplets.filter("i <> j")
-    left, right = genotype.select("snp", F.col("iid").alias("i"), "g"), genotype.select("snp", F.col("iid").alias("j"), F.col("g").alias("g2"))
-    pairs = left.join(off, "i").join(right, ["snp", "j"]).groupBy("snp").agg(*[F.sum(F.col("g") * F.col("g2") * F.col(f)).alias(f"o_{f}") for f in forms])
-    quads = [(F.col(f"d_{f}") + F.coalesce(f"o_{f}", F.lit(0.0))).alias(f"{f}_gg") for f in forms]
-    return sums.join(pairs, "snp", "left").select("snp", *linear, *quads)
-
-
-def score(genotype: DataFrame, model: NullModel) -> DataFrame:
-    """One row per variant: RESULT. A variant that the covariates explain (variance not above 0) gets nulls."""
-    found = functionals(genotype, model)
-    p = sum(c.startswith("a") for c in model.weights.columns)
-    vector = lambda name: [F.col(f"{name}{k}") for k in range(p)]
-    if model.kind == "single":
-        done = found.select("snp", F.col("u").alias("num"), (F.col("q_gg") - _dot(vector("a"), _times(model.arrays["inner"], vector("a")))).alias("info"))
-        done = done.withColumn("var", F.col("info"))
-    else:
-        m, ks = model.arrays, range(p)
-        step = _named(found, [f"m{k}" for k in ks] + [f"y{k}" for k in ks], _times(m["a22"], vector("a")) + _times(m["c"], vector("c")))
-        am, gamma = vector("m"), vector("y")
-        a22_bx = _lits(m["a22"] @ m["bx"])
-        step = _named(step, ["s_", "e_", "dg"], [
-            F.col("q_gg") - _dot(vector("a"), am), F.col("v_gg") - _dot(vector("c"), gamma), F.col("h_gg") - _dot(gamma, vector("z")),
-        ])
-        step = _named(step, ["alpha"] + [f"dx{k}" for k in ks], [
-            (F.col("b") - _dot(am, _lits(m["bx"]))) / F.col("s_"), *[F.col(f"l{k}") - d for k, d in enumerate(_times(m["vdx"].T, gamma))],
-        ])
-        dx, alpha = vector("dx"), F.col("alpha")
-        # v'A v = v for the exact inverse, so the target's own part of the variance is e_
-        num = F.col("w") - _dot(gamma, _lits(m["vr"])) + F.col("dg") * alpha + _dot(dx, [x - y * alpha for x, y in zip(a22_bx, am)])
-        var = F.col("e_") + _dot(dx, _times(m["a22"], dx)) + F.pow(F.col("dg") - _dot(dx, am), 2) / F.col("s_")
-        done = step.select("snp", num.alias("num"), F.col("e_").alias("info"), var.alias("var"))
-    good = (F.col("info") > 1e-9) & (F.col("var") > 1e-9)
-    done = done.select("snp", *[F.when(good, F.col(c)).alias(c) for c in ("num", "info", "var")])
-    done = done.select("snp", (F.col("num") * F.col("num") / F.col("var")).alias("t_score"), (F.col("num") / F.col("info")).alias("beta"), (F.col("var") / (F.col("info") * F.col("info"))).alias("var_beta"))
+
+def _type(genotype: DataFrame) -> T.DataType:
+    return genotype.schema["snp"].dataType
+
+
+def _schema(genotype: DataFrame, *columns: str) -> T.StructType:
+    kinds = {"sums": T.ArrayType(T.DoubleType()), "num": T.DoubleType(), "info": T.DoubleType(), "var": T.DoubleType()}
+    return T.StructType([T.StructField("snp", _type(genotype)), *[T.StructField(c, kinds[c]) for c in columns]])
+
+
+def functionals(genotype: DataFrame, model: NullModel, variants: int | None = None) -> DataFrame:
+    """snp, sums: an array per bucket. genotype: snp, iid, g with one row for a snp and person at most, and none for dosages of 0."""
+    rows, people = dealt(genotype, model.members, variants)
+    n_forms, width = model.n_forms, 1 + model.p + (1 + 3 * model.p if model.kind == "joint" else 0) + model.n_forms
+    names = genotype.schema["snp"].dataType
+
+    def work(dosages: pa.Table, members: pa.Table) -> pa.Table:
+        if not dosages.num_rows:
+            return pa.table({"snp": pa.array([], dosages.schema.field("snp").type), "sums": _lists(np.zeros((0, width)))})
+        snp, g, members = tile(dosages, members)
+        return pa.table({"snp": snp, "sums": _lists(sums_of(g, members, n_forms))})
+
+    schema = T.StructType([T.StructField("snp", names), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    return rows.groupBy("tile", "bucket").cogroup(people.groupBy("tile", "bucket")).applyInArrow(work, schema)
+
+
+def added(parts: pa.ListArray) -> np.ndarray:
+    """Lists of lists of equal length: a row for each outer list, the sum of its inner ones."""
+    outer = parts.offsets.to_numpy()
+    inner = parts.values
+    width = inner.offsets[1].as_py() - inner.offsets[0].as_py() if len(inner) else 0
+    flat = inner.flatten().to_numpy().reshape(len(inner), width)
+    first = outer[0]
+    return np.add.reduceat(flat, outer[:-1] - first) if len(flat) else np.zeros((0, width))
+
+
+def finished(found: DataFrame) -> DataFrame:
+    """(snp, num, info, var) to RESULT; a variant that the covariates explain gets nulls."""
+    clean = found.select("snp", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("num", "info", "var")])
+    done = clean.select("snp", (F.col("num") * F.col("num") / F.col("var")).alias("t_score"), (F.col("num") / F.col("info")).alias("beta"), (F.col("var") / (F.col("info") * F.col("info"))).alias("var_beta"))
     return done.withColumn("neg_log10_p", F.expr(neg_log10_p("t_score"))).select(*RESULT)
 
 
+def score(genotype: DataFrame, model: NullModel, variants: int | None = None) -> DataFrame:
+    """One row per variant with a dosage in the model's people: RESULT. genotype: snp, iid, g, without rows for dosages of 0; null
+    dosages count as 0. variants: about how many there are, where known."""
+    arrays, p = model.arrays, model.p
+    parts = functionals(genotype, model, variants).groupBy("snp").agg(F.collect_list("sums").alias("sums"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = fam.finish(added(batch.column(1)), arrays, p) if batch.num_rows else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in done.T]], ["snp", "num", "info", "var"])
+
+    return finished(parts.mapInArrow(test, _schema(genotype, "num", "info", "var")))
+
+
+def model_bytes(model: NullModel) -> int:
+    """Size of a model's rows: 8 bytes for each weight and each form's entry."""
+    row = model.members.agg(F.sum(F.size("w") + F.size("f") + 3)).first()
+    return 8 * (row[0] or 0)
+
+
+def score_arrays(variants: DataFrame, order: DataFrame, model: NullModel, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """RESULT for dosages of one array per variant: variants has snp and dosage, order has iid and position (its place in the arrays,
+    from 0). Null dosages count as 0. A person of the model who has no place raises.
+
+    The model is broadcast if it has up to most_bytes, and no dosage is shuffled; a larger one is met by dosages taken apart.
+    """
+    placed = model.members.join(order.select("iid", "position"), "iid", "left")
+    missing = placed.filter("position is null").count()
+    if missing:
+        raise ValueError(f"{missing} people of the model are not among the genotyped")
+    if model_bytes(model) > most_bytes:
+        long = variants.select("snp", F.posexplode("dosage").alias("position", "g")).filter("g <> 0").join(order.select("iid", "position"), "position")
+        return score(long.select("snp", "iid", "g"), model)
+    spark = variants.sparkSession
+    table = placed.select("iid", "block", "position", "w", "f").toArrow().sort_by([("block", "ascending"), ("iid", "ascending")])
+    shared = spark.sparkContext.broadcast(table.combine_chunks())
+    arrays, p, n_forms = model.arrays, model.p, model.n_forms
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        people = shared.value
+        position = people.column("position").to_numpy()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_VARIANTS):
+                part = batch.slice(at, BATCH_VARIANTS)
+                dosage = part.column(1)
+                flat = pc.fill_null(dosage.flatten().cast(pa.float64()), 0.0).to_numpy()
+                g = flat.reshape(part.num_rows, -1)[:, position]
+                done = fam.finish(sums_of(g, people, n_forms), arrays, p)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c) for c in done.T]], ["snp", "num", "info", "var"])
+
+    return finished(variants.select("snp", "dosage").mapInArrow(test, _schema(variants, "num", "info", "var")))
+
+
 def calibration(results: DataFrame) -> DataFrame:
     """variants, lambda_gc, median_neg_log10_p, share_05, share_01, mean_beta of a scan."""
     share = lambda level: F.avg((F.col("neg_log10_p") > -float(np.log10(level))).cast("double"))
