@@ -69,9 +69,9 @@ def coalesced(sizes: list[tuple[int, int]], threshold: int = 1000) -> list[tuple
 
 
 def split_by_blocks(block: DataFrame, share: float = 0.8, seed: int = 1) -> DataFrame:
-    """iid, split: no block straddles train and test. Blocks are taken in a hash order as long as each brings the running size
+    """iid, split: no block straddles train and test. Blocks are taken in a fixed arithmetic order as long as each brings the running size
     nearer to the target, so train misses the target by half a block at most."""
-    sizes = block.groupBy("block_id").count().withColumn("order", F.xxhash64(F.lit(seed), "block_id"))
+    sizes = block.groupBy("block_id").count().withColumn("order", F.struct(chosen_order(F.col("block_id"), seed).alias("o"), "block_id"))
     target = F.lit(round(share * block.count()))
     summed = prefix_sums(sizes, "order", "count")
     nearer = F.abs(F.col("before") + F.col("count") - target) <= F.abs(F.col("before") - target)
@@ -79,8 +79,9 @@ def split_by_blocks(block: DataFrame, share: float = 0.8, seed: int = 1) -> Data
     return block.join(split, "block_id").select("iid", "split")
 
 
-def monomorphic(genotype: DataFrame, observed: DataFrame, n_observed: int) -> DataFrame:
-    """snp whose dosage is the same in all observed rows; rows that are absent from the sparse layout are 0."""
+def monomorphic(variants: DataFrame, genotype: DataFrame, observed: DataFrame, n_observed: int) -> DataFrame:
+    """snp of variants whose dosage is the same in all observed rows; rows that are absent from the sparse layout are 0, so a variant
+    without any row is constant."""
     seen = genotype.join(observed.select("iid"), "iid", "left_semi").groupBy("snp").agg(
         F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")
     )
@@ -88,12 +89,13 @@ def monomorphic(genotype: DataFrame, observed: DataFrame, n_observed: int) -> Da
     low = F.when(absent, F.least("low", F.lit(0.0))).otherwise(F.col("low"))
     high = F.when(absent, F.greatest("high", F.lit(0.0))).otherwise(F.col("high"))
     varied = seen.filter(low < high).select("snp")
-    return genotype.select("snp").distinct().join(varied, "snp", "left_anti")
+    return variants.select("snp").distinct().join(varied, "snp", "left_anti")
 
 
 def variant_chunks(variants: DataFrame, arrays: int, chunk: int = 200) -> DataFrame:
-    """position (from 0), array, chunk: equal ranges of a table (snp, position), cut again into chunks."""
-    n = variants.count()
-    width = max(1, -(-n // arrays))
-    at = F.floor(F.col("position") / width)
-    return variants.select("snp", "position", at.alias("array"), F.floor((F.col("position") - at * width) / chunk).alias("chunk"))
+    """position (from 0), array, chunk: a table (snp, position) cut into intervals of equal width, closed on the right, the first one
+    on both sides; the variants of each array are cut again into chunks. A single variant is in array 0."""
+    last = max(1, variants.count() - 1)
+    at = F.greatest(F.lit(0), F.ceil(F.col("position") * arrays / last) - 1)
+    first = F.when(at > 0, F.floor(at * last / arrays) + 1).otherwise(0)
+    return variants.select("snp", "position", at.alias("array"), F.floor((F.col("position") - first) / chunk).alias("chunk"))

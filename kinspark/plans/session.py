@@ -9,8 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets a checkpoint folder: the one that the cluster names, or a folder of this machine where it names none."""
+    """Sets the checkpoint folder that the session names. Where it names none, a session on this machine alone gets a folder here,
+    and a cluster an error, as its executors need a shared one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "kinspark-lineage"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "kinspark-lineage"))
     return spark

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from kinspark.functions.normal import CHI2_MEDIAN, neg_log10_p, quantile
 from kinspark.operators import blocks, prep
+from kinspark.operators.eachvariant import score_each
 from kinspark.operators.nullmodel import fit_joint, fit_single
 from kinspark.operators.scoretest import calibration, score
-from kinspark.sources.cohort import brand_dosages, cohort, pair_grm, table
+from kinspark.sources.cohort import brand_dosages, cohort, pair_grm, part_dosages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,12 +86,14 @@ def intersect_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT DISTINCT c_mktsegment AS s FROM customer)
 SELECT c_custkey AS iid, (c_mktsegment = (SELECT s FROM l ORDER BY s LIMIT 1 OFFSET 1))::INT AS level_1,
-    (c_mktsegment = (SELECT s FROM l ORDER BY s LIMIT 1 OFFSET 2))::INT AS level_2 FROM customer""")
+    (c_mktsegment = (SELECT s FROM l ORDER BY s LIMIT 1 OFFSET 2))::INT AS level_2,
+    (c_mktsegment = (SELECT s FROM l ORDER BY s LIMIT 1 OFFSET 3))::INT AS level_3,
+    (c_mktsegment = (SELECT s FROM l ORDER BY s LIMIT 1 OFFSET 4))::INT AS level_4 FROM customer""")
 def one_hot_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     levels = [r[0] for r in customers.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # a handful of segments
     hot = prep.one_hot(customers, "c_mktsegment", levels)
-    return hot.select(F.col("c_custkey").alias("iid"), *[F.col(f"`c_mktsegment_{v}`").alias(f"level_{k}") for k, v in enumerate(levels[1:3], 1)])
+    return hot.select(F.col("c_custkey").alias("iid"), *[F.col(f"`c_mktsegment_{v}`").alias(f"level_{k}") for k, v in enumerate(levels[1:], 1)])
 
 
 @query(f"WITH {COHORT} SELECT iid, x1 * x1 AS x1_2, x1 * (x2 - 1) AS x1_x2, x1 * x1 * (x2 - 1) AS x1_2_x2 FROM cohort")
@@ -185,13 +188,17 @@ def independent_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.one_of_each(members(cohort(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {COHORT}, z AS (SELECT family, count(*) AS c, ((family * 7919 + 1) % 10007) AS o FROM cohort GROUP BY 1),
+runs AS (SELECT *, coalesce(sum(c) OVER (ORDER BY o, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    (SELECT round_even(0.8 * count(*), 0) FROM cohort) AS target FROM z)
+SELECT iid, CASE WHEN abs(before + c - target) <= abs(before - target) THEN 'train' ELSE 'test' END AS split FROM cohort JOIN runs USING (family)""")
 def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.split_by_blocks(members(cohort(spark, sf_dir)))
 
 
 @query("""WITH v AS (SELECT p_partkey AS snp, p_partkey - (SELECT min(p_partkey) FROM part) AS position, (SELECT count(*) FROM part) AS n FROM part),
-a AS (SELECT *, (n + 6) // 7 AS width FROM v) SELECT snp, position, position // width AS "array", (position % width) // 200 AS chunk FROM a""")
+a AS (SELECT *, greatest(0, (position * 7 + n - 2) // (n - 1) - 1) AS "array" FROM v)
+SELECT snp, position, "array", (row_number() OVER (PARTITION BY "array" ORDER BY position) - 1) // 200 AS chunk FROM a""")
 def variant_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("snp"))
     least = parts.agg(F.min("snp")).first()[0]
@@ -205,11 +212,14 @@ def prs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prep.weighted_score(brand_dosages(spark, sf_dir), weights, intercept=2.0), "prs")
 
 
-@query(f"""WITH {COHORT}, {DOSAGES}, s AS (SELECT snp, count(*) AS c, min(g) AS a, max(g) AS b FROM geno JOIN cohort USING (iid) WHERE y_obs IS NOT NULL GROUP BY 1)
-SELECT DISTINCT snp FROM geno WHERE snp NOT IN (SELECT snp FROM s WHERE c < (SELECT count(y_obs) FROM cohort) OR a < b)""")
+@query(f"""WITH {COHORT}, geno AS (SELECT l_partkey AS snp, o_custkey AS iid, least(count(*), 2)::DOUBLE AS g FROM lineitem JOIN orders
+    ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2),
+s AS (SELECT snp, count(*) AS c, min(g) AS a, max(g) AS b FROM geno JOIN cohort USING (iid) WHERE y_obs IS NOT NULL GROUP BY 1)
+SELECT p_partkey AS snp FROM part WHERE p_partkey NOT IN (SELECT snp FROM s WHERE c < (SELECT count(y_obs) FROM cohort) OR a < b)""")
 def monomorphic_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = cohort(spark, sf_dir).filter("y_obs is not null")
-    return blocks.monomorphic(brand_dosages(spark, sf_dir), seen, seen.count())
+    variants = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("snp"))
+    return blocks.monomorphic(variants, part_dosages(spark, sf_dir), seen, seen.count())
 
 
 def scan_sql(where: str, response: str, ddof: int, extra: str = "") -> str:
@@ -315,3 +325,9 @@ def grm_joint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diag_joint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(score(brand_dosages(spark, sf_dir), fit_joint(independent(cohort(spark, sf_dir)), None, ["x1", "x2"], covariance="diag")))
+
+
+@query()
+def grm_each_variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = cohort(spark, sf_dir)
+    return _tidy(score_each(brand_dosages(spark, sf_dir), people, pair_grm(people), ["x1"], floor=0.01))

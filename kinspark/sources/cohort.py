@@ -41,3 +41,11 @@ def brand_dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     bought = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return bought.groupBy(F.col("p_brand").alias("snp"), F.col("o_custkey").alias("iid")).agg(F.least(F.count("*"), F.lit(2)).cast("double").alias("g"))
+
+
+def part_dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snp, iid, g: large line items of a part that a customer bought, at most 2. Most parts have few carriers."""
+    items = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", F.col("l_partkey").alias("snp"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("iid"))
+    bought = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return bought.groupBy("snp", "iid").agg(F.least(F.count("*"), F.lit(2)).cast("double").alias("g"))

@@ -1,6 +1,9 @@
 import os
 import sys
 
+# numpy's threads may wait for each other for ever once the process has forked a JVM
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
