@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and the checkpoint folder that the session names in spark.checkpoint.dir."""
+    """Small Arrow batches, and the checkpoint folder that the session names in spark.checkpoint.dir. Where it names none, a session
+    on this machine alone gets a folder here, and a cluster an error."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared:
+        if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "corpus-lineage"))
     return spark
 
 
