@@ -33,6 +33,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where df has such a column."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

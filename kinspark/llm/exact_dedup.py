@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, prepare
+from .common import ascii_lower, prepare, unused
 
 #: A digest with at least this share of the rows counts as heavy. At most 1/SUPPORT digests are broadcast.
 SUPPORT = 1 / 2000
@@ -65,14 +65,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows with one doc_id and text, one stays."""
+    """The rows of docs that stay, with all their columns, whatever their names. Of rows with one doc_id and text, one stays.
+
+    A null text is empty. An empty table stays empty. Texts of any length are hashed whole.
+    """
     decided = exact_dedup(docs, id_col, text_col, support)
-    same = ["_kept_id", "_sha"]
-    kept = decided.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha"), "kept").groupBy(*same).agg(
+    same = unused(docs, "_kept_id", "_sha")
+    own_id, sha = same
+    kept = decided.select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(sha), "kept").groupBy(*same).agg(
         F.bool_or("kept").alias("_stays"), F.count("*").alias("_copies")
     ).filter("_stays").checkpoint()
-    keyed = docs.withColumn("_sha", F.sha2(ascii_lower(F.col(text_col)), 256)).withColumn("_kept_id", F.col(id_col))
-    match = lambda rows: [keyed["_kept_id"].eqNullSafe(rows["_kept_id"]), keyed["_sha"] == rows["_sha"]]
+    keyed = docs.withColumn(sha, F.sha2(ascii_lower(F.col(text_col)), 256)).withColumn(own_id, F.col(id_col))
+    match = lambda rows: [keyed[own_id].eqNullSafe(rows[own_id]), keyed[sha] == rows[sha]]
     once, repeated = kept.filter("_copies = 1"), kept.filter("_copies > 1")
     stay = keyed.join(once, match(once), "left_semi")
     if not repeated.isEmpty():

@@ -1,13 +1,14 @@
 """License scans: fuzzy search for short notices.
 
 A notice of which at most k characters are wrong has one of its k + 1 pieces intact (pigeonhole). An Aho-Corasick automaton
-finds the pieces of all notices in one pass; only the neighbourhood of a hit is given to the regex library, whose
+finds the pieces of all notices in one pass; only the neighbourhood of each hit is given to the regex library, whose
 bounded-error matching verifies the edits and gives the span.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,6 +48,8 @@ _WORDS = bytes(
 )
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
+_BLANK = re.compile(" ")
+
 
 def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
     """errors + 1 parts of the notice, of about equal length, with their offsets."""
@@ -92,34 +95,42 @@ class Scanner:
         if not words:
             return Scan(0)
         flat = b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass")
-        found, near = Scan(len(words)), {}
+        found, near, blanks = Scan(len(words)), {}, []
         for end, (length, uses) in self.seeds.iter(flat):
             start = end + 1 - length
+            blanks = blanks or [m.start() for m in _BLANK.finditer(flat)]
             for i, at, label in uses:
                 if i is None:
-                    first = flat.count(" ", 0, start)
-                    found.hits.append(Hit(first, first + flat.count(" ", start + 1, end), label, 0, True, 1.0))
+                    first = bisect_left(blanks, start)
+                    found.hits.append(Hit(first, bisect_left(blanks, end) - 1, label, 0, True, 1.0))
                 else:
                     notice, _, errors = self.notices[i]
                     low, high = max(0, start - at - errors), start - at + len(notice) + errors
-                    spans = near.setdefault(i, [])
-                    if spans and low <= spans[-1][1]:
-                        spans[-1][1] = max(high, spans[-1][1])
-                    else:
-                        spans.append([low, high])
-        for i, spans in near.items():
+                    near.setdefault(i, set()).add((low, min(high, len(flat))))
+        for i, places in near.items():
             notice, label, _ = self.notices[i]
-            for low, high in spans:
-                for m in self.verify[i].finditer(flat, low, min(high, len(flat))):
-                    edits = sum(m.fuzzy_counts)
-                    inner = m.group().strip(" ")
-                    lead = m.start() + (len(m.group()) - len(m.group().lstrip(" ")))
-                    first = max(0, flat.count(" ", 0, lead) - (0 if flat[lead : lead + 1] == " " else 1))
-                    found.hits.append(
-                        Hit(first, first + inner.count(" "), label, edits, False, 1 - edits / len(notice))
-                    )
+            for m in self._verified(i, flat, places):
+                edits = sum(m.fuzzy_counts)
+                inner = m.group().strip(" ")
+                lead = m.start() + (len(m.group()) - len(m.group().lstrip(" ")))
+                first = max(0, bisect_left(blanks, lead) - (0 if flat[lead : lead + 1] == " " else 1))
+                found.hits.append(Hit(first, first + inner.count(" "), label, edits, False, 1 - edits / len(notice)))
         return found
 
+    def _verified(self, i: int, flat: str, places: set[tuple[int, int]]) -> list[regex.Match]:
+        """The best match of a notice at each candidate place, in order; of matches that overlap, the one with the fewest edits, or
+        the first, stands."""
+        matches = [m for low, high in sorted(places) if (m := self.verify[i].search(flat, low, high))]
+        kept: list[regex.Match] = []
+        starts: list[int] = []
+        for m in sorted(matches, key=lambda m: (sum(m.fuzzy_counts), m.start())):
+            at = bisect_left(starts, m.start())
+            if (at and kept[at - 1].end() > m.start()) or (at < len(kept) and starts[at] < m.end()):
+                continue
+            kept.insert(at, m)
+            starts.insert(at, m.start())
+        return kept
+
     def spans(self, text: str, scan: Scan) -> list[dict]:
         """The hits with their places in the text as it is, in code points."""
         if not scan.hits:

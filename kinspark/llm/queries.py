@@ -24,7 +24,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    place = lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"), s["edits"].cast("string"))
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(F.transform("spans", place), ","))
 
 
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

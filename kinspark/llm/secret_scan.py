@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, unused
 
 
 @dataclass(frozen=True)
@@ -154,12 +154,14 @@ def redact(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo", owner_col: str = "owner",
     example_owners: int = EXAMPLE_OWNERS, mask: str = "[SECRET]",
 ) -> DataFrame:
-    """docs with each live span of a text replaced by `mask`; spans that overlap become one. Other columns, rows and null texts stay."""
+    """docs with each live span of a text replaced by `mask`; spans that overlap become one. Other columns,
+    whatever their names, rows and null texts stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha")))
-    scanned = secret_scan(keyed, "_key", text_col, repo_col, owner_col, example_owners)
-    live = scanned.filter(F.size("live") > 0).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.sha").alias("_sha"), F.col("live").alias("_live"))
-    live = live.groupBy("_id", "_sha").agg(F.max("_live").alias("_live"))
+    key, id_, sha, spans = unused(docs, "_key", "_id", "_sha", "_live")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha")))
+    scanned = secret_scan(keyed, key, text_col, repo_col, owner_col, example_owners)
+    live = scanned.filter(F.size("live") > 0).select(F.col("doc_id.id").alias(id_), F.col("doc_id.sha").alias(sha), F.col("live").alias(spans))
+    live = live.groupBy(id_, sha).agg(F.max(spans).alias(spans))
 
     def step(state: Column, span: Column) -> Column:
         gap = text.substr(state["at"].cast("int") + 1, F.greatest(span["start"] - state["at"], F.lit(0)).cast("int"))
@@ -171,6 +173,6 @@ def redact(
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda s: F.concat(F.array_join(s["out"], ""), text.substr(s["at"].cast("int") + 1, F.length(text)))
-    masked = F.aggregate("_live", start, step, rest)
-    joined_ = keyed.join(live, keyed["_key.id"].eqNullSafe(live["_id"]) & (keyed["_key.sha"] == live["_sha"]), "left")
-    return joined_.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(masked)).drop("_key", "_id", "_sha", "_live")
+    masked = F.aggregate(spans, start, step, rest)
+    joined_ = keyed.join(live, keyed[f"{key}.id"].eqNullSafe(live[id_]) & (keyed[f"{key}.sha"] == live[sha]), "left")
+    return joined_.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(masked)).drop(key, id_, sha, spans)

@@ -39,7 +39,7 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:  # noqa: A
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}:type"]
     found = []
-    if "enum" in schema and not any(type(value) is type(e) and value == e for e in schema["enum"]):
+    if "enum" in schema and not any(isinstance(value, bool) == isinstance(e, bool) and value == e for e in schema["enum"]):
         found.append(f"{at}:enum")
     if isinstance(value, dict):
         own = schema.get("properties", {})
@@ -64,8 +64,11 @@ def _constant(name: str) -> None:
 
 
 def _parsed(text: str | None) -> tuple[Any, bool]:
+    """The value, and whether it can be written again: numbers beyond a double and lone surrogates cannot."""
     try:
-        return json.loads(text or "", parse_constant=_constant), True
+        value = json.loads(text or "", parse_constant=_constant)
+        canonical(value).encode()
+        return value, True
     except (ValueError, RecursionError):
         return None, False
 

@@ -137,6 +137,54 @@ def test_license_scan(docs):
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
 
 
+@pytest.mark.parametrize("text, starts", [
+    ("under the mi licens under the mit license", {0, 4}),
+    ("undr the mit licence then under the mit license and undar the mit license", {0, 5, 10}),
+    ("all rights reserve all rights reserved x all rihts reserved", set()),
+])
+def test_license_places_side_by_side(text, starts):
+    scanner = license_scan.Scanner()
+    found = scanner.scan(text)
+    assert {h.first for h in found.hits if h.label == "mit"} == starts
+    if not starts:
+        assert {(h.first, h.last) for h in found.hits} == {(0, 2), (3, 5), (7, 9)}
+
+
+def test_license_fuzzy_places_by_brute_force():
+    """Random edits of notices between other words: each edited notice is found at its place."""
+    rng, scanner = np.random.default_rng(5), license_scan.Scanner()
+    for _ in range(150):
+        words, planted = [], []
+        for _ in range(4):
+            words += ["zq"] * int(rng.integers(0, 4))
+            notice, label, errors = license_scan.NOTICES[int(rng.integers(len(license_scan.NOTICES)))]
+            chars = list(notice)
+            for at in rng.choice(np.flatnonzero([c != " " for c in chars]), int(rng.integers(0, errors + 1)), replace=False):
+                chars[at] = "j"
+            planted.append((len(words), label))
+            words += "".join(chars).split()
+        found = {(h.first, h.label) for h in scanner.scan(" ".join(words)).hits}
+        assert set(planted) <= found, (words, planted, found)
+
+
+@pytest.mark.parametrize("text", ['{"a":1e999}', '{"a":"\\ud800"}', '{"a":NaN}', "[" * 100_000])
+def test_arguments_that_cannot_be_written(text):
+    assert tool_calls._parsed(text) == (None, False)
+
+
+def test_names_that_helpers_use_themselves(spark):
+    frame = spark.createDataFrame(awkward(), SCHEMA)
+    own = ["_key", "_id", "_sha", "_SHA_", "_live", "_kept_id", "_stays", "_copies", "_row"]
+    named = frame.selectExpr("*", "'r' as repo", *[f"'x' as {c}" for c in own])
+    clean = secret_scan.redact(named, repo_col="repo", owner_col="source")
+    plain = secret_scan.redact(frame.selectExpr("*", "'r' as repo"), repo_col="repo", owner_col="source")
+    assert clean.columns == named.columns and {r[c] for r in clean.collect() for c in own} == {"x"}
+    same(clean.select("doc_id", "text").collect(), [tuple(r) for r in plain.select("doc_id", "text").collect()])
+    kept = exact_dedup.drop_copies(named)
+    assert kept.columns == named.columns and {r[c] for r in kept.collect() for c in own} == {"x"}
+    same(kept.select("doc_id", "text").collect(), [tuple(r) for r in exact_dedup.drop_copies(frame).select("doc_id", "text").collect()])
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = {r.doc_id: r for r in quality_gbt.quality_scores(docs, labels).collect()}
