@@ -92,6 +92,29 @@ def monomorphic(variants: DataFrame, genotype: DataFrame, observed: DataFrame, n
     return variants.select("snp").distinct().join(varied, "snp", "left_anti")
 
 
+#: Dosages that a repair gives to the people that it picks.
+REPAIRED = (2.0, 1.0, 1.0, 1.0, 1.0, 2.0)
+
+
+def repair_constant(genotype: DataFrame, constant: DataFrame, observed: DataFrame, start: Column | None = None, seed: int = 13) -> DataFrame:
+    """snp, iid, g in which the constant variants (snp) have varied dosages: six observed people of each, who follow each other in a
+    fixed arithmetic order from a place that the variant decides (`start`, its hash by default), get REPAIRED. Fewer observed people raise."""
+    n = observed.count()
+    if n < len(REPAIRED):
+        raise ValueError(f"a repair needs {len(REPAIRED)} observed people")
+    order = observed.select("iid", F.struct(chosen_order(F.col("iid"), seed).alias("o"), "iid").alias("_order"), F.lit(1).alias("_one"))
+    people = prefix_sums(order, "_order", "_one").select("iid", F.col("before").cast("long").alias("_place"))
+    first = F.xxhash64("snp") if start is None else start
+    cells = F.array(*[F.struct(F.pmod(first + k, F.lit(n)).cast("long").alias("_place"), F.lit(g).alias("g")) for k, g in enumerate(REPAIRED)])
+    patch = constant.select("snp", F.explode(cells).alias("_cell")).select("snp", "_cell.*").join(people, "_place").select("snp", "iid", "g")
+    return genotype.select("snp", "iid", "g").join(patch, ["snp", "iid"], "left_anti").unionByName(patch)
+
+
+def block_sizes(block: DataFrame) -> DataFrame:
+    """blocks, people, largest."""
+    return block.groupBy("block_id").count().agg(F.count("*").alias("blocks"), F.sum("count").alias("people"), F.max("count").alias("largest"))
+
+
 def variant_chunks(variants: DataFrame, arrays: int, chunk: int = 200) -> DataFrame:
     """position (from 0), array, chunk: a table (snp, position) cut into intervals of equal width, closed on the right, the first one
     on both sides; the variants of each array are cut again into chunks. A single variant is in array 0."""

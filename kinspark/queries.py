@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.functions.normal import CHI2_MEDIAN, neg_log10_p, quantile
-from kinspark.operators import blocks, prep
+from kinspark.operators import blocks, prep, tables
 from kinspark.operators.eachvariant import score_each
 from kinspark.operators.nullmodel import fit_joint, fit_single
 from kinspark.operators.scoretest import calibration, score
 from kinspark.sources.cohort import brand_dosages, cohort, pair_grm, part_dosages, table
+from kinspark.sources.files import relatedness, sample_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -331,3 +332,165 @@ def diag_joint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grm_each_variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = cohort(spark, sf_dir)
     return _tidy(score_each(brand_dosages(spark, sf_dir), people, pair_grm(people), ["x1"], floor=0.01))
+
+
+@query(grm_sql("true", "y", False))
+def grm_oracle_unfloored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grm_scan(spark, sf_dir, "true", "y", None)
+
+
+@query(grm_sql("y_obs IS NOT NULL", "y_obs", False))
+def grm_observed_unfloored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grm_scan(spark, sf_dir, "y_obs is not null", "y_obs", None)
+
+
+def _first_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dosages = brand_dosages(spark, sf_dir)
+    return dosages.filter(F.col("snp") == table(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0])
+
+
+def first_sql(scan: str) -> str:
+    return f"SELECT * FROM ({scan}) WHERE snp = (SELECT min(p_brand) FROM part)"
+
+
+@query(first_sql(grm_sql("true", "y", True)))
+def grm_oracle_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = cohort(spark, sf_dir)
+    return _tidy(score(_first_variant(spark, sf_dir), fit_single(people, pair_grm(people), ["x1"], "y", "grm", 0.01), 1))
+
+
+@query(first_sql(grm_sql("y_obs IS NOT NULL", "y_obs", True)))
+def grm_observed_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = cohort(spark, sf_dir).filter("y_obs is not null")
+    return _tidy(score(_first_variant(spark, sf_dir), fit_single(people, pair_grm(people), ["x1"], "y_obs", "grm", 0.01), 1))
+
+
+@query(first_sql(scan_sql("iid IN (SELECT iid FROM independent)", "y", 1, f", {ONE_EACH}")))
+def diag_oracle_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = independent(cohort(spark, sf_dir))
+    return _tidy(score(_first_variant(spark, sf_dir), fit_single(people, None, ["x1"], "y", "diag"), 1))
+
+
+@query(first_sql(scan_sql("y_obs IS NOT NULL AND iid IN (SELECT iid FROM independent)", "y_obs", 1, f", {ONE_EACH}")))
+def diag_observed_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = independent(cohort(spark, sf_dir)).filter("y_obs is not null")
+    return _tidy(score(_first_variant(spark, sf_dir), fit_single(people, None, ["x1"], "y_obs", "diag"), 1))
+
+
+@query()
+def grm_joint_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = cohort(spark, sf_dir)
+    return _tidy(score(_first_variant(spark, sf_dir), fit_joint(people, pair_grm(people), ["x1", "x2"]), 1))
+
+
+@query()
+def diag_joint_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(score(_first_variant(spark, sf_dir), fit_joint(independent(cohort(spark, sf_dir)), None, ["x1", "x2"], covariance="diag"), 1))
+
+
+def table_sql(scans: dict[str, str]) -> str:
+    first, *rest = scans
+    columns = ", ".join(f"{m}.{c} AS {m}_{c}" for m in scans for c in tables.METHOD_COLUMNS)
+    return f"SELECT snp, {columns} FROM ({scans[first]}) {first} " + " ".join(f"FULL JOIN ({scans[m]}) {m} USING (snp)" for m in rest)
+
+
+@query(table_sql({
+    "grm_oracle": grm_sql("true", "y", True), "grm_observed": grm_sql("y_obs IS NOT NULL", "y_obs", True),
+    "diag_oracle": scan_sql("iid IN (SELECT iid FROM independent)", "y", 1, f", {ONE_EACH}"),
+    "diag_observed": scan_sql("y_obs IS NOT NULL AND iid IN (SELECT iid FROM independent)", "y_obs", 1, f", {ONE_EACH}"),
+}))
+def single_method_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = {"grm_oracle": grm_oracle_scan, "grm_observed": grm_observed_scan, "diag_oracle": diag_oracle_scan, "diag_observed": diag_obs_scan}
+    return tables.side_by_side({m: scan(spark, sf_dir) for m, scan in scans.items()})
+
+
+@query()
+def four_method_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = {"grm_joint": grm_joint_scan, "grm_observed": grm_observed_scan, "diag_joint": diag_joint_scan, "diag_observed": diag_obs_scan}
+    return tables.side_by_side({m: scan(spark, sf_dir) for m, scan in scans.items()})
+
+
+@query(f"""WITH {COHORT}, geno AS (SELECT l_partkey AS snp, o_custkey AS iid, least(count(*), 2)::DOUBLE AS g FROM lineitem JOIN orders
+    ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2),
+s AS (SELECT snp, count(*) AS c, min(g) AS a, max(g) AS b FROM geno JOIN cohort USING (iid) WHERE y_obs IS NOT NULL GROUP BY 1),
+same AS (SELECT p_partkey AS snp FROM part WHERE p_partkey NOT IN (SELECT snp FROM s WHERE c < (SELECT count(y_obs) FROM cohort) OR a < b)),
+seen AS (SELECT iid, row_number() OVER (ORDER BY (iid * 7919 + 13) % 10007, iid) - 1 AS place, count(*) OVER () AS n FROM cohort WHERE y_obs IS NOT NULL),
+six AS (SELECT snp, (snp * 7919 + k) % (SELECT max(n) FROM seen) AS place, CASE WHEN k IN (0, 5) THEN 2.0 ELSE 1.0 END::DOUBLE AS g FROM same, range(6) r(k)),
+patch AS (SELECT snp, iid, g FROM six JOIN seen USING (place))
+SELECT * FROM patch UNION ALL SELECT geno.* FROM geno ANTI JOIN patch USING (snp, iid)""")
+def constant_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = cohort(spark, sf_dir).filter("y_obs is not null")
+    return blocks.repair_constant(part_dosages(spark, sf_dir), monomorphic_variants(spark, sf_dir), seen, F.col("snp") * 7919)
+
+
+@query(f"WITH b AS ({BLOCK_SQL.format(0.005)}) SELECT count(*) AS blocks, sum(c)::BIGINT AS people, max(c) AS largest FROM (SELECT count(*) AS c FROM b GROUP BY block_id)")
+def block_size_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.block_sizes(blocks.blocks(*_links(spark, sf_dir), threshold=0.005))
+
+
+@query(f"WITH {COHORT}, {GRM} SELECT * FROM grm")
+def grm_from_kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda c: F.concat_ws("_", c, c).alias(c)
+    kinship = pair_grm(cohort(spark, sf_dir)).filter("i <= j").select(name("i"), name("j"), (F.col("k") / 2).alias("k"))
+    return relatedness(kinship)
+
+
+def _scaled(spread: str) -> str:
+    columns = ", ".join(f"round((x1 - avg(x1) OVER ()) / {spread.format(c)}, 6) AS {c}".replace("x1", c) for c in ("x1", "x2", "y"))
+    return f"WITH {COHORT} SELECT iid, {columns} FROM cohort"
+
+
+@query(_scaled("stddev_samp({}) OVER ()"))
+def scaled_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tables.standardised(cohort(spark, sf_dir), ["x1", "x2", "y"]), "x1", "x2", "y").select("iid", "x1", "x2", "y")
+
+
+@query(_scaled("1"))
+def centred_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tables.standardised(cohort(spark, sf_dir), ["x1", "x2", "y"], spread=False), "x1", "x2", "y").select("iid", "x1", "x2", "y")
+
+
+@query("SELECT o_custkey AS iid, round_even(count(*) / 2.0::DOUBLE, 0) AS half FROM orders GROUP BY 1")
+def half_even_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("iid")).agg(F.count("*").alias("n"))
+    return counts.select("iid", F.bround(F.col("n") / 2, 0).alias("half"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS status FROM orders")
+def status_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.factor(table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O"], "status").select("o_orderkey", "status")
+
+
+@query("SELECT c_custkey AS iid, c_acctbal AS acct_bal_total, c_mktsegment AS mkt_segment FROM customer")
+def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    return tables.clean_names(customers.select(F.col("c_custkey").alias("iid"), F.col("c_acctbal").alias("acct-bal total"), F.col("c_mktsegment").alias("mkt segment")))
+
+
+COVARIANCE_COLUMNS = ("x1", "x2", "s", "y")
+
+
+@query(f"WITH {COHORT} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 6) AS cov FROM cohort" for k, a in enumerate(COVARIANCE_COLUMNS) for b in COVARIANCE_COLUMNS[k:]
+))
+def covariance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tables.covariances(cohort(spark, sf_dir), list(COVARIANCE_COLUMNS)), "cov")
+
+
+@query(f"""WITH {COHORT}, picked AS (SELECT iid, row_number() OVER (ORDER BY (iid * 7919 + 3) % 10007, iid) AS r, count(*) OVER () AS n FROM cohort WHERE y_obs IS NOT NULL)
+SELECT iid, CASE WHEN r <= round_even(0.1::DOUBLE * n, 0) THEN 'train' ELSE 'test' END AS split FROM cohort LEFT JOIN picked USING (iid)""")
+def train_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.train_sample(cohort(spark, sf_dir), "y_obs")
+
+
+@query()
+def forest_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = cohort(spark, sf_dir)
+    return tables.forest_surrogate(people, tables.train_sample(people, "y_obs"), ["x1", "x2", "s"], "y_obs")
+
+
+@query("SELECT CASE k WHEN 0 THEN 'ID_1 ID_2 missing nation ' ELSE '0 0 0 D ' END AS line FROM range(2) r(k) UNION ALL "
+       "SELECT concat_ws(' ', c_custkey, c_custkey, 0, c_nationkey) FROM customer")
+def sample_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("iid"), F.col("c_nationkey").alias("nation"))
+    return sample_lines(people, ["nation"]).select("line")
