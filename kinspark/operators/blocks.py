@@ -52,6 +52,27 @@ def chosen_order(iid: Column, seed: int) -> Column:
     return (iid * 7919 + seed) % 10007
 
 
+def adaptive_blocks(
+    ids: DataFrame, grm: DataFrame, most: int = 1000, start: float = 0.006, step: float = 0.001
+) -> tuple[DataFrame, float]:
+    """Blocks (iid, block_id) of at most `most` people, and the threshold that gives them: the first of start, start + step, ... that does.
+    Each threshold is a job over the entries; past the largest entry each person is a block, so it ends."""
+    entries, k = grm.select("i", "j", "k").checkpoint(), 0
+    while True:
+        threshold = round(start + k * step, 9)
+        found = blocks(ids, entries, threshold).checkpoint()
+        if (block_sizes(found).first()["largest"] or 0) <= most:
+            return found, threshold
+        k += 1
+
+
+def inside(grm: DataFrame, block: DataFrame) -> tuple[DataFrame, int]:
+    """The entries within blocks, weak ones too, and how many lie between blocks and are left out."""
+    rows, columns = (block.select(F.col("iid").alias(c), F.col("block_id").alias(f"_{c}")) for c in "ij")
+    placed = grm.join(rows, "i").join(columns, "j")
+    return placed.filter("_i = _j").select("i", "j", "k"), placed.filter("_i <> _j").count()
+
+
 def one_of_each(block: DataFrame, seed: int = 13) -> DataFrame:
     """iid of one member of each block."""
     return block.groupBy("block_id").agg(F.min(F.struct(chosen_order(F.col("iid"), seed).alias("o"), "iid")).alias("m")).select("m.iid")

@@ -161,10 +161,10 @@ def grm_submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.submatrix(pair_grm(people), people.filter("y_obs is not null"))
 
 
-def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _links(spark: SparkSession, sf_dir: str, weakness: float = 0.004) -> tuple[DataFrame, DataFrame]:
     """Ids and entries of uneven blocks: pairs, some of which a weak entry joins."""
     people = cohort(spark, sf_dir)
-    weak = people.filter("iid % 6 = 1").select(F.col("iid").alias("i"), (F.col("iid") + 1).alias("j"), F.lit(0.004).alias("k"))
+    weak = people.filter("iid % 6 = 1").select(F.col("iid").alias("i"), (F.col("iid") + 1).alias("j"), F.lit(weakness).alias("k"))
     return people.select("iid"), blocks.canonical(pair_grm(people).unionByName(weak.filter(F.col("j") < people.count())))
 
 
@@ -184,6 +184,15 @@ def block_detect_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.blocks(*_links(spark, sf_dir), threshold=0.005)
 
 
+_AT = [BLOCK_SQL.replace("0.004", "0.0065").format(t) for t in (0.006, 0.007)]
+_LARGEST = "(SELECT max(c) FROM (SELECT count(*) AS c FROM a GROUP BY block_id))"
+
+
+@query(f"WITH a AS ({_AT[0]}), b AS ({_AT[1]}) SELECT * FROM a WHERE {_LARGEST} <= 3 UNION ALL SELECT * FROM b WHERE {_LARGEST} > 3")
+def block_detect_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.adaptive_blocks(*_links(spark, sf_dir, 0.0065), most=3)[0]
+
+
 @query(f"WITH {COHORT}, {ONE_EACH} SELECT iid FROM independent")
 def independent_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.one_of_each(members(cohort(spark, sf_dir)))

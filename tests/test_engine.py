@@ -212,3 +212,20 @@ def test_each_variant(spark):
         want = dense_joint(k, x, s, y, g[m], moments(k[np.ix_(o, o)], e_t, e_t), moments(k, e_s, e_s), moments(k[np.ix_(o, o)], e_s[o], e_t))
         r = found[f"v{m}"]
         assert np.allclose([r.t_score, r.beta, r.var_beta], want)
+
+
+def test_adaptive_blocks_feed_the_model(spark):
+    """Weak entries join families at the first threshold; the found blocks and the entries inside them fit."""
+    people, grm, dosages, *_ = fixture(spark)
+    weak = [(i, j, 0.0065) for a, b in ((1, 2), (4, 5), (6, 7)) for i, j in ((a, b), (b, a))]
+    joined = grm.unionByName(spark.createDataFrame(weak, "i long, j long, k double"))
+    found, threshold = blocks.adaptive_blocks(people.select("iid"), joined, most=3)
+    assert threshold == 0.007 and blocks.block_sizes(found).first()["largest"] == 3
+    kept, dropped = blocks.inside(joined, found)
+    assert dropped == len(weak)
+    placed = people.join(found, "iid")
+    with pytest.raises(Exception, match="between blocks"):
+        fit_single(placed, joined, ["x1", "x2"], "y", "grm", 0.01, block="block_id").members.count()
+    one = score(dosages, fit_single(placed, kept, ["x1", "x2"], "y", "grm", 0.01, block="block_id")).orderBy("snp").collect()
+    two = score(dosages, fit_single(people, grm, ["x1", "x2"], "y", "grm", 0.01, block="family")).orderBy("snp").collect()
+    assert np.allclose([r.t_score for r in one], [r.t_score for r in two])
