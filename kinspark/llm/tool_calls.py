@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -159,19 +159,49 @@ EXCHANGE_TOOLS = {
 }
 
 
+#: Turns of one conversation that a window holds; of longer ones, only a row per span meets in a window.
+SPAN = 4096
+
+
+def neighbours(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn of calls (user and system turns), with answer_turn, the next assistant's turn, and before_turn, the call before."""
+    role, turn = F.col("role"), F.col("turn")
+    marks = conversations.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(
+        F.max(F.when(role == "assistant", turn)).alias("answer"), F.max(F.when(role.isin("user", "system"), turn)).alias("call")
+    ).withColumn("span", F.floor(turn / SPAN))
+    order = Window.partitionBy("conv_id").orderBy("span")
+    spans = marks.groupBy("conv_id", "span").agg(F.min("answer").alias("first"), F.max("call").alias("last")).select(
+        "conv_id", "span", F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+        F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+    )
+    own = Window.partitionBy("conv_id", "span").orderBy("turn")
+    found = marks.withColumns({
+        "answer_turn": F.min("answer").over(own.rowsBetween(1, Window.unboundedFollowing)),
+        "before_turn": F.max("call").over(own.rowsBetween(Window.unboundedPreceding, -1)),
+    }).filter("call is not null").join(spans, ["conv_id", "span"])
+    return found.select("conv_id", "turn", F.coalesce("answer_turn", "later").alias("answer_turn"), F.coalesce("before_turn", "earlier").alias("before_turn"))
+
+
 def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that a table of conversations (conv_id, turn, role, text) holds.
 
-    A user's turn is a call of `ask`, a system's one of `brief`; the assistant's turn after it is its result. A call rests on the
-    call two turns before it, the one whose answer it follows. Other roles, and null ones, are neither.
+    A user's turn is a call of `ask`, a system's one of `brief`; the next assistant's turn of the conversation is its result, so one turn
+    may answer several calls. A call rests on the call before it in the conversation. Other roles, and null ones, are neither; rows
+    without a conv_id or turn are left out.
     """
     name = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
     turn, text = F.col("turn"), F.coalesce(F.col("text"), F.lit(""))
     asked = F.to_json(F.struct(text.alias("query"), turn.alias("turn")))
     told = F.to_json(F.struct(text.alias("instruction"), turn.alias("turn")))
-    calls = conversations.filter(F.col("role").isin("user", "system")).select(
+    prepare(conversations.sparkSession)
+    near = neighbours(conversations).checkpoint()
+    turns = conversations.select("conv_id", "turn", "role", "text")
+    calls = turns.filter(F.col("role").isin("user", "system")).join(near, ["conv_id", "turn"]).select(
         "conv_id", name(turn).alias("call_id"), "turn", F.when(F.col("role") == "user", "ask").otherwise("brief").alias("name"),
-        F.when(F.col("role") == "user", asked).otherwise(told).alias("arguments"), name(turn - 2).alias("after_id"),
+        F.when(F.col("role") == "user", asked).otherwise(told).alias("arguments"), name(F.col("before_turn")).alias("after_id"),
+    )
+    answered = near.select("conv_id", name(turn).alias("call_id"), F.col("answer_turn").alias("turn"))
+    results = turns.filter("role = 'assistant'").join(answered, ["conv_id", "turn"]).select(
+        "conv_id", "call_id", "turn", F.col("text").alias("content")
     )
-    results = conversations.filter("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

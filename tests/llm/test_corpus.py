@@ -300,23 +300,27 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), schema).count() == 0
 
 
-def test_tool_calls_of_conversations(spark):
-    turns = spark.read.parquet(f"{SF}/conversations.parquet")
-    rows = {(r.conv_id, r.turn): r for r in turns.collect()}
+@pytest.mark.parametrize("span", [4096, 2])
+def test_tool_calls_of_conversations(spark, span, monkeypatch):
+    monkeypatch.setattr(tool_calls, "SPAN", span)
+    odd = [
+        (-1, 0, "system", "be brief"), (-1, 1, "user", "one"), (-1, 2, "assistant", "yes"), (-1, 3, "user", "two"), (-1, 4, "tool", "x"),
+        (-1, 9, "assistant", None), (-1, 10, "user", None), (-1, None, "user", "lost"), (None, 3, "user", "lost"), (-2, 5, "assistant", "alone"),
+    ]
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(odd, turns.schema)).selectExpr("*", "'x' as span", "'x' as answer", "'x' as call_id")
+    rows = {(r.conv_id, r.turn): r for r in turns.collect() if r.conv_id is not None and r.turn is not None}
     asked = {k: r for k, r in rows.items() if r.role in ("user", "system")}
     found = tool_calls.link_calls(*tool_calls.exchanges(turns), tool_calls.EXCHANGE_TOOLS).collect()
     assert {(r.conv_id, r.turn) for r in found} == set(asked)
     for r in found:
-        level, at = 0, r.turn
-        while (r.conv_id, at - 2) in asked:
-            level, at = level + 1, at - 2
-        answer = rows.get((r.conv_id, r.turn + 1))
-        answered = answer is not None and answer.role == "assistant"
+        level = sum(conv == r.conv_id and at < r.turn for conv, at in asked)
+        later = [at for (conv, at), x in rows.items() if conv == r.conv_id and at > r.turn and x.role == "assistant"]
         whole = json.loads(r.json)
-        assert r.level == level and (r.result_turn is not None) == answered
-        assert whole["result"] == (answer.text if answered else None)
+        assert r.level == level and r.result_turn == min(later, default=None)
+        assert whole["result"] == (rows[r.conv_id, min(later)].text if later else None)
         assert r.json == json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
+        assert r.status == ("invalid" if not rows[r.conv_id, r.turn].text else "ok" if later else "no_result")
 
 def brute_secrets(text):
     kinds = [
