@@ -196,9 +196,12 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     prepare(conversations.sparkSession)
     near = neighbours(conversations).checkpoint()
     turns = conversations.select("conv_id", "turn", "role", "text")
-    calls = turns.filter(F.col("role").isin("user", "system")).join(near, ["conv_id", "turn"]).select(
-        "conv_id", name(turn).alias("call_id"), "turn", F.when(F.col("role") == "user", "ask").otherwise("brief").alias("name"),
-        F.when(F.col("role") == "user", asked).otherwise(told).alias("arguments"), name(F.col("before_turn")).alias("after_id"),
+    # joined by the identifier, so that calls lie where they are linked later
+    placed = near.select("conv_id", name(turn).alias("call_id"), name(F.col("before_turn")).alias("after_id"))
+    named = turns.filter(F.col("role").isin("user", "system")).withColumn("call_id", name(turn))
+    calls = named.join(placed, KEY).select(
+        "conv_id", "call_id", "turn", F.when(F.col("role") == "user", "ask").otherwise("brief").alias("name"),
+        F.when(F.col("role") == "user", asked).otherwise(told).alias("arguments"), "after_id",
     )
     answered = near.select("conv_id", name(turn).alias("call_id"), F.col("answer_turn").alias("turn"))
     results = turns.filter("role = 'assistant'").join(answered, ["conv_id", "turn"]).select(
