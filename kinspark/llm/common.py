@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,40 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet in the shared folder and read from there: lost executors cost nothing that has been written."""
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Sums of tasks are added up in so many groups before they reach the driver.
+SLOTS = 32
+
+
+def summed(rows: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray], length: int, whole: bool = False) -> np.ndarray:
+    """work's arrays of one length, whole numbers or doubles, added up over the batches of a task, over tasks, and on the driver over SLOTS groups of
+    tasks."""
+    kind, item, schema = (np.int64, pa.int64(), "sums array<long>") if whole else (np.float64, pa.float64(), "sums array<double>")
+
+    def table(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total], pa.list_(item))], ["sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length, kind)
+        for batch in batches:
+            if batch.num_rows:
+                total += work(batch)
+        yield table(total)
+
+    def merge(parts: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([table(np.sum(np.stack(parts.column("sums").to_numpy()), axis=0))])
+
+    each = rows.mapInArrow(add, schema).withColumn("slot", F.spark_partition_id() % SLOTS)
+    merged = each.groupBy("slot").applyInArrow(merge, schema).collect()
+    return np.sum([np.array(r["sums"], kind) for r in merged], axis=0) if merged else np.zeros(length, kind)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, longer by underscores where df has such a column."""
     taken, found = {c.lower() for c in df.columns}, []

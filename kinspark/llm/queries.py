@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fertility, license_scan, packing, quality_gbt, secret_scan, simhash, substring_dedup, tool_calls
+from . import bpe, exact_dedup, fertility, license_scan, nearest, packing, quality_gbt, secret_scan, simhash, substring_dedup, token_alignment, tool_calls, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,10 +61,24 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(docs, model, bands=bands, **second)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), one, two)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_simhash, op3_license_scan, op4_quality_trees, op5_substring_dedup, op6_tool_calls, op7_secret_scan,
-        op8_exact_dedup, op9_packing, op10_fertility_rules,
+        op8_exact_dedup, op9_packing, op10_fertility_rules, op11_token_alignment, op12_whitening, op13_nearest,
     )
 }
