@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, prepare, stored, summed
+from .common import prepare, stored, summed
 
 K = 10
 TABLES = 3
@@ -30,8 +30,8 @@ WIDTH, CELL_ROWS = 2.5, 50
 SAMPLE_ROWS, QUANTILE = 256, 0.9
 #: A query that would visit more cells of a table is compared with all vectors.
 MOST_PROBES = 4096
-#: Rows of a key, of a cell's block, and queries of a key's block, about.
-KEY_ROWS, BLOCK_ROWS, QUERY_ROWS = 4096, 2048, 1024
+#: Rows of a key, of a block of a key with more rows, and queries of a key's block, about.
+KEY_ROWS, BLOCK_ROWS, QUERY_ROWS = 4096, 8192, 1024
 #: Cells of a projection that are looked at on either side of the query's, and the least probability of one.
 REACH, LEAST = 3, 1e-4
 _PHI = np.vectorize(lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2))), otypes=[float])
@@ -191,10 +191,6 @@ def fit(rows: DataFrame, tables: int = TABLES, k: int = K, seed: int = 7) -> tup
     return Hashing(total[:size], spread, max(typical_distance(rows, size, k), 1e-9 * spread), directions, offsets, mixers), n
 
 
-def _block(cell: str, blocks: Column, keys: int) -> Column:
-    return F.pmod(F.xxhash64(cell, blocks), F.lit(keys))
-
-
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -220,17 +216,23 @@ def _meet(k: int):  # noqa: ANN202
     return run
 
 
+def _blocks(rows: DataFrame, most: int, into: str) -> DataFrame:
+    """key and its number of blocks, of keys with more than `most` rows."""
+    return rows.groupBy("key").count().filter(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias(into))
+
+
 def _compare(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """FOUND: the k nearest of each query within a key. vectors: key, cell, id, v; queries: key, id, v, cells (null: all of the key). A key with many queries
-    is worked on in blocks of them."""
-    many = queries.groupBy("key").count().filter(F.col("count") > QUERY_ROWS).select("key", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("blocks"))
-    many = many.checkpoint()
-    one = F.coalesce("blocks", F.lit(1))
-    left = vectors.join(many, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), one - 1)))
-    right = queries.join(many, "key", "left").withColumn("block", F.pmod(F.xxhash64("id"), one).cast("int"))
-    left = left.select(F.col("key").alias("key"), F.col("block").alias("block"), "cell", "id", "v")
-    right = right.select(F.col("key").alias("key"), F.col("block").alias("block"), "id", "v", "cells")
-    return left.groupBy("key", "block").cogroup(right.groupBy("key", "block")).applyInArrow(_meet(k), FOUND)
+    """FOUND: the k nearest of each query within a key. vectors: key, cell, id, v; queries: key, id, v, cells (null: all of the key). The vectors of a key, and its
+    queries, are dealt to blocks where they are many, and each block of one meets each of the other."""
+    split = _blocks(vectors, BLOCK_ROWS, "parts").join(_blocks(queries, QUERY_ROWS, "turns"), "key", "full").checkpoint()
+    parts, turns = (F.coalesce(c, F.lit(1)) for c in ("parts", "turns"))
+    own, every = F.pmod(F.xxhash64("id"), parts), F.explode(F.sequence(F.lit(0), turns - 1))
+    left = vectors.join(split, "key", "left").select("key", own.cast("int").alias("part"), every.alias("turn"), "cell", "id", "v")
+    own, every = F.pmod(F.xxhash64("id"), turns), F.explode(F.sequence(F.lit(0), parts - 1))
+    right = queries.join(split, "key", "left").select("key", every.alias("part"), own.cast("int").alias("turn"), "id", "v", "cells")
+    by = ["key", "part", "turn"]
+    left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (left, right))
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_meet(k), FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -258,6 +260,8 @@ def search(
     if hashing is None or asked.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
+    keys = -(-n * tables // KEY_ROWS)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = hashing.cells(matrix(batch.column(1))) if batch.num_rows else np.zeros((0, 1), np.int64)
@@ -265,32 +269,35 @@ def search(
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "v", "cells"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each key that has visited cells; one without a key for queries with too many cells."""
         for batch in batches:
-            cells = [hashing.probes(q) for q in matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], ["id", "v", "cells"])
-
-    schema = f"id long, v {kind}, cells array<long>"
-    index = stored(rows.mapInArrow(place, schema))
+            rows, at, visited = [], [], []
+            for k_, query in enumerate(matrix(batch.column(1))):
+                cells = hashing.probes(query)
+                if cells is None:
+                    rows, at, visited = [*rows, k_], [*at, None], [*visited, None]
+                    continue
+                key = np.mod(cells, keys)
+                order = np.argsort(key, kind="stable")
+                own, first = np.unique(key[order], return_index=True)
+                rows += [k_] * len(own)
+                at += own.tolist()
+                visited += np.split(cells[order], first[1:])
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(visited, pa.list_(pa.int64()))], ["id", "v", "key", "cells"])
+
+    index = stored(rows.mapInArrow(place, f"id long, v {kind}, cells array<long>"))
     spread = asked.repartition(spark.sparkContext.defaultParallelism)
-    visits = stored(spread.mapInArrow(probe, schema))
-    keys = -(-n * tables // KEY_ROWS)
-    entries = index.select("id", "v", F.explode("cells").alias("cell"))
-    hot = index.select(F.explode("cells").alias("cell")).groupBy("cell").count().filter(F.col("count") > BLOCK_ROWS).checkpoint()
-    blocks = F.ceil(F.coalesce("count", F.lit(1)) / BLOCK_ROWS)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    placed = join_groups(entries, hot, ["cell"], "count").select(_block("cell", own, keys).alias("key"), "cell", "id", "v")
-    steps = join_groups(visits.select("id", F.explode("cells").alias("cell")), hot, ["cell"], "count")
-    steps = steps.select("id", "cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    wanted = steps.select("id", _block("cell", F.col("block"), keys).alias("key"), "cell").groupBy("id", "key").agg(F.collect_set("cell").alias("cells"))
-    given = wanted.join(visits.select("id", "v"), "id").select("key", "id", "v", "cells")
-    found = stored(_best(_compare(placed, given, k), k))
+    visits = stored(spread.mapInArrow(probe, f"id long, v {kind}, key long, cells array<long>"))
+    entries = index.select("id", "v", F.explode("cells").alias("cell")).withColumn("key", F.pmod("cell", F.lit(keys)))
+    found = stored(_best(_compare(entries, visits.filter("key IS NOT NULL"), k), k))
     # queries with too many cells to visit, or too few vectors in them, meet all vectors
     enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
-    rest = stored(visits.join(enough, "id", "left_anti").select("id", "v"))
+    rest = stored(visits.join(enough, "id", "left_anti").select("id", "v").distinct())
     if not rest.isEmpty():
         parts = -(-n // KEY_ROWS)
         every = index.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("key"), F.lit(0).cast("long").alias("cell"), "id", "v")
         everywhere = rest.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("key"), "id", "v", F.lit(None).cast("array<long>").alias("cells"))
         exact = _best(_compare(every, everywhere, k), k)
-        found = found.join(rest.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
+        found = found.join(rest.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
