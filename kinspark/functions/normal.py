@@ -50,7 +50,7 @@ def _horner(highest_first: tuple[float, ...], x: str) -> str:
 
 
 def neg_log10_p(t: str) -> str:
-    """-log10 of the upper tail at t of chi-square with one degree of freedom, in log space, so it never underflows."""
+    """-log10 of the upper tail at t of chi-square with one degree of freedom, in log space, so it never underflows; null for null."""
     y = f"sqrt({t})"
     centre = f"ln(0.5e0 - {y} * {_horner(CENTRE[0], t)} / {_horner(CENTRE[1], t)})"
     middle = f"(-{t} / 2e0 + ln({_horner(MIDDLE[0], y)} / {_horner(MIDDLE[1], y)}))"
@@ -60,7 +60,7 @@ def neg_log10_p(t: str) -> str:
         ratio = f"({y} + {k}e0 / {ratio})"
     far = f"(-{t} / 2e0 - {_number(0.5 * math.log(2 * math.pi))} - ln{ratio})"
     log_q = f"CASE WHEN {t} <= 0.45493642e0 THEN {centre} WHEN {t} <= 32e0 THEN {middle} ELSE {far} END"
-    return f"greatest(0e0, -(({log_q}) + {_number(math.log(2))}) / {_number(math.log(10))})"
+    return f"CASE WHEN {t} IS NOT NULL THEN greatest(0e0, -(({log_q}) + {_number(math.log(2))}) / {_number(math.log(10))}) END"
 
 
 def quantile(p: str) -> str:

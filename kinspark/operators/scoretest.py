@@ -139,15 +139,17 @@ def score_arrays(variants: DataFrame, order: DataFrame, model: NullModel, most_b
     """RESULT for dosages of one array per variant: variants has snp and dosage, order has iid and position (its place in the arrays,
     from 0). Null dosages count as 0. A person of the model who has no place raises.
 
-    The model is broadcast if it has up to most_bytes, and no dosage is shuffled; a larger one is met by dosages taken apart.
+    The model is broadcast if it has up to most_bytes, and no dosage is shuffled; a larger one meets slices of the dosages.
     """
     placed = model.members.join(order.select("iid", "position"), "iid", "left")
     missing = placed.filter("position is null").count()
     if missing:
         raise ValueError(f"{missing} people of the model are not among the genotyped")
     if model_bytes(model) > most_bytes:
-        long = variants.select("snp", F.posexplode("dosage").alias("position", "g")).filter("g <> 0").join(order.select("iid", "position"), "position")
-        return score(long.select("snp", "iid", "g"), model)
+        from .slices import score_slices
+
+        found = score_slices(variants, order, {"m": model})
+        return found.select("snp", *[F.col(f"m_{c}").alias(c) for c in RESULT[1:]])
     spark = variants.sparkSession
     table = placed.select("iid", "block", "position", "w", "f").toArrow().sort_by([("block", "ascending"), ("iid", "ascending")])
     shared = spark.sparkContext.broadcast(table.combine_chunks())
