@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import families as fam
@@ -39,6 +39,11 @@ class NullModel:
     def n_forms(self) -> int:
         return 1 if self.kind == "single" else 3
 
+    @property
+    def width(self) -> int:
+        """Sums of a variant: of all weights, and of the quadratic forms."""
+        return 1 + self.p + (1 + 3 * self.p if self.kind == "joint" else 0) + self.n_forms
+
     @property
     def components(self) -> dict[str, float]:
         pairs = {"s": self.variances.s, "t": self.variances.t, "ts": self.variances.ts}
@@ -63,9 +68,11 @@ class Prepared:
     n: int
 
 
-def prepared(people: DataFrame, grm: DataFrame | None, xs: list[str], surrogate: str, target: str | None, block: str | None, covariance: str) -> Prepared:
+def prepared(
+    people: DataFrame, grm: DataFrame | None, xs: list[str], surrogate: str, target: str | None, block: str | None, covariance: str, more: list[str] = (),
+) -> Prepared:
     """People and entries dealt to buckets. Covariates are centred; the intercept is x0. Raises on missing covariates or
-    surrogates, on repeated ids, and on entries between blocks."""
+    surrogates, on repeated ids, and on entries between blocks. more: further responses, which become m1, m2, ..."""
     if covariance == "grm" and grm is None:
         raise ValueError("covariance='grm' needs a relatedness matrix")
     if covariance == "grm" and block is None:
@@ -78,9 +85,11 @@ def prepared(people: DataFrame, grm: DataFrame | None, xs: list[str], surrogate:
     rows = people.select(
         F.col("iid").cast("long"), own.cast("long").alias("block"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(xs, 1)],
         F.col(surrogate).cast("double").alias("s"), F.when(~F.isnan(known), known).alias("t"),
+        *[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(more, 1)],
     ).checkpoint()
+    others = [f"m{k}" for k in range(1, len(more) + 1)]
     needed = [f"x{k}" for k in range(1, len(xs) + 1)] + ["s"]
-    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in needed])
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in [*needed, *others]])
     row = rows.agg(F.count("*"), F.count_if(bad), F.countDistinct("iid"), *[F.avg(c) for c in needed[:-1]]).first()
     n = row[0]
     if row[1] or row[2] != n or not n:
@@ -88,7 +97,7 @@ def prepared(people: DataFrame, grm: DataFrame | None, xs: list[str], surrogate:
     buckets = max(1, -(-n // BUCKET_PEOPLE))
     bucket = F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")
     centred = [(F.col(c) - F.lit(m)).alias(c) for c, m in zip(needed, row[3:])]
-    dealt = rows.select("iid", bucket.alias("bucket"), "block", F.lit(1.0).alias("x0"), *centred, "s", "t")
+    dealt = rows.select("iid", bucket.alias("bucket"), "block", F.lit(1.0).alias("x0"), *centred, "s", "t", *others)
     if covariance != "grm":
         return Prepared(dealt, None, len(xs) + 1, n)
     left, right = (dealt.select(F.col("iid").alias(i), F.col("block").alias(f"block_{i}"), "bucket") for i in "ij")
@@ -201,40 +210,3 @@ def fit_joint(
     p = ready.p
     e_s, e_t = fam.residual(every.zz, p, p), fam.residual(seen.zz, p, p + 1)
     return _model("joint", ready, joint_variances(every, seen, e_s, e_t, covariance, floor), np.stack((e_s, e_t), axis=1))
-
-
-def _design(columns: list[str]) -> list[Column]:
-    return [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
-
-
-def ols(rows: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Coefficients, inverse of X'X, and the number of rows, in one aggregation."""
-    names, columns = len(xs) + 1, [*_design(xs), F.col(y).cast("double")]
-    pairs = [(a, b) for a in range(names + 1) for b in range(a + 1)]
-    row = rows.agg(*[F.sum(columns[a] * columns[b]) for a, b in pairs]).first()
-    both = np.zeros((names + 1, names + 1))
-    for (a, b), v in zip(pairs, row):
-        both[a, b] = both[b, a] = v or 0.0
-    inner = np.linalg.inv(both[:names, :names])
-    return inner @ both[:names, names], inner, round(both[0, 0])
-
-
-def residuals(rows: DataFrame, y: str, xs: list[str], into: str) -> DataFrame:
-    alpha, _, _ = ols(rows, y, xs)
-    fitted = reduce(lambda a, b: a + b, [F.lit(float(v)) * c for v, c in zip(alpha, _design(xs))])
-    return rows.withColumn(into, F.col(y) - fitted)
-
-
-def moments(grm: DataFrame, left: DataFrame, right: DataFrame, floor: float | None = None) -> tuple[float, float]:
-    """tau and sigma by the method of moments; left and right: (iid, e), the residuals of the two sides of the form."""
-    a, b = left.select(F.col("iid").alias("i"), F.col("e").alias("a")), right.select(F.col("iid").alias("j"), F.col("e").alias("b"))
-    off = F.col("i") != F.col("j")
-    row = grm.join(a, "i").join(b, "j").agg(
-        F.sum(F.when(off, F.col("k") * F.col("a") * F.col("b"))), F.sum(F.when(off, F.col("k") * F.col("k"))),
-        F.sum(F.when(~off, F.col("k"))), F.sum(F.when(~off, F.col("a") * F.col("b"))), F.count_if(~off),
-    ).first()
-    if not row[1]:
-        raise ValueError("the relatedness matrix has no entries off its diagonal: use covariance='diag'")
-    tau = row[0] / row[1]
-    sigma = (row[3] - tau * row[2]) / row[4]
-    return tau, sigma if floor is None else max(sigma, floor)

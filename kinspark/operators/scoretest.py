@@ -85,7 +85,7 @@ def _schema(genotype: DataFrame, *columns: str) -> T.StructType:
 def functionals(genotype: DataFrame, model: NullModel, variants: int | None = None) -> DataFrame:
     """snp, sums: an array per bucket. genotype: snp, iid, g with one row for a snp and person at most, and none for dosages of 0."""
     rows, people = dealt(genotype, model.members, variants)
-    n_forms, width = model.n_forms, 1 + model.p + (1 + 3 * model.p if model.kind == "joint" else 0) + model.n_forms
+    n_forms, width = model.n_forms, model.width
     names = genotype.schema["snp"].dataType
 
     def work(dosages: pa.Table, members: pa.Table) -> pa.Table:
@@ -108,11 +108,11 @@ def added(parts: pa.ListArray) -> np.ndarray:
     return np.add.reduceat(flat, outer[:-1] - first) if len(flat) else np.zeros((0, width))
 
 
-def finished(found: DataFrame) -> DataFrame:
+def finished(found: DataFrame, keys: tuple[str, ...] = ("snp",)) -> DataFrame:
     """(snp, num, info, var) to RESULT; a variant that the covariates explain gets nulls."""
-    clean = found.select("snp", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("num", "info", "var")])
-    done = clean.select("snp", (F.col("num") * F.col("num") / F.col("var")).alias("t_score"), (F.col("num") / F.col("info")).alias("beta"), (F.col("var") / (F.col("info") * F.col("info"))).alias("var_beta"))
-    return done.withColumn("neg_log10_p", F.expr(neg_log10_p("t_score"))).select(*RESULT)
+    clean = found.select(*keys, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("num", "info", "var")])
+    done = clean.select(*keys, (F.col("num") * F.col("num") / F.col("var")).alias("t_score"), (F.col("num") / F.col("info")).alias("beta"), (F.col("var") / (F.col("info") * F.col("info"))).alias("var_beta"))
+    return done.withColumn("neg_log10_p", F.expr(neg_log10_p("t_score"))).select(*keys, *RESULT[1:])
 
 
 def score(genotype: DataFrame, model: NullModel, variants: int | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from kinspark.functions.normal import neg_log10_p
 
 from . import families as fam
 from .blocks import REPAIRED, chosen_order
+from .many import ManyModel, finish_many, sums_of_many
 from .nullmodel import NullModel
 from .scoretest import sums_of
 
@@ -41,7 +42,7 @@ def _unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def placed_people(order: DataFrame, models: dict[str, NullModel], buckets: int | None = None) -> DataFrame:
+def placed_people(order: DataFrame, models: dict[str, NullModel | ManyModel], buckets: int | None = None) -> DataFrame:
     """iid, bucket, rank (place in the bucket), position, of the people of any model. A block lies in one bucket, the blocks of the model with the fewest
     blocks deciding; a block of another model that then lies in two raises, and so does a person without a position."""
     largest = max(models.values(), key=lambda m: m.n - m.members.select("block").distinct().count())
@@ -70,7 +71,7 @@ def placed_people(order: DataFrame, models: dict[str, NullModel], buckets: int |
     return dealt
 
 
-def _models_rows(models: dict[str, NullModel], people: DataFrame) -> DataFrame:
+def _models_rows(models: dict[str, NullModel | ManyModel], people: DataFrame) -> DataFrame:
     """A row per bucket, with each model's people: their places in the bucket, blocks, weights and forms."""
     parts = None
     for k, model in enumerate(models.values()):
@@ -133,21 +134,21 @@ def slices(variants: DataFrame, people: DataFrame, seen: DataFrame | None, lanes
     return variants.select("snp", "dosage", F.xxhash64("snp").alias("start"), F.spark_partition_id().alias("part")).mapInArrow(cut, SLICES)
 
 
-def _held(payload: bytes, forms: list[int]) -> list[tuple[np.ndarray, pa.Table, int]]:
-    """Of each model: places of its people among the bucket's, its people by block and id, and the number of forms."""
+def _held(payload: bytes, n: int) -> list[tuple[np.ndarray, pa.Table]]:
+    """Of each of n models: places of its people among the bucket's, and its people by block and id."""
     rows = _unpack(payload)
     every = np.unique(rows.column("position").to_numpy())
     out = []
-    for k, n in enumerate(forms):
+    for k in range(n):
         own = rows.filter(pc.equal(rows.column("model"), k)).sort_by([("block", "ascending"), ("iid", "ascending")]).combine_chunks()
-        out.append((np.searchsorted(every, own.column("position").to_numpy()), own, n))
+        out.append((np.searchsorted(every, own.column("position").to_numpy()), own))
     return out
 
 
 def score_slices(
-    variants: DataFrame, order: DataFrame, models: dict[str, NullModel], observed: DataFrame | None = None, lanes: int | None = None, buckets: int | None = None,
+    variants: DataFrame, order: DataFrame, models: dict[str, NullModel | ManyModel], observed: DataFrame | None = None, lanes: int | None = None, buckets: int | None = None,
 ) -> DataFrame:
-    """snp, and for each model its t_score, neg_log10_p, beta and var_beta, named model_column, of dosages that come as one array per variant.
+    """snp, and for each model its t_score, neg_log10_p, beta and var_beta, named model_column (of many responses, model_response_column), of dosages that come as one array per variant.
 
     variants: snp, dosage (copies up to 127, null as 0), in an order that is the same when read again; order: iid and position, the place in the
     arrays, from 0. observed (iid): variants that are constant among these people get varied dosages first, as by blocks.repair_constant. A variant that the
@@ -157,26 +158,31 @@ def score_slices(
     held_in = people.select("bucket").distinct().count()
     lanes = lanes or max(1, -(-2 * variants.sparkSession.sparkContext.defaultParallelism // held_in))
     seen = None if observed is None else observed.select("iid").join(order.select("iid", "position"), "iid")
-    forms, sizes = [m.n_forms for m in models.values()], []
-    for model in models.values():
-        sizes.append(1 + model.p + (1 + 3 * model.p if model.kind == "joint" else 0) + model.n_forms)
-    arrays, ps = [m.arrays for m in models.values()], [m.p for m in models.values()]
+    sizes = [m.width for m in models.values()]
+    # what tasks need of the models, without their rows
+    small = [(m.kind, m.n_forms, m.arrays, m.p, m.variances if m.kind == "many" else None) for m in models.values()]
+    tests = [f"{name}_{r}" if m.kind == "many" else name for name, m in models.items() for r in (m.names if m.kind == "many" else [""])]
     one = _models_rows(models, people).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     one = one.select(F.lit(-1).cast("long").alias("run"), "bucket", "lane", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("snps"), "payload")
     both = one.unionByName(slices(variants, people, seen, lanes))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, pa.Table, int]] = []
+        held: list[tuple[np.ndarray, pa.Table]] = []
         for batch in batches:
             runs, snps, sums = [], [], []
             for row in range(batch.num_rows):
                 payload = batch.column(5)[row].as_buffer()
                 if batch.column(3)[row].as_py() == 0:
-                    held = _held(payload, forms)
+                    held = _held(payload, len(small))
                     continue
                 names = batch.column(4)[row].as_py()
                 g = np.frombuffer(payload, np.int8).reshape(_unpack(names).num_rows, -1).astype(float)
-                total = [sums_of(g[:, places], own, n) if len(places) else np.zeros((len(g), size)) for (places, own, n), size in zip(held, sizes)]
+                total = []
+                for (places, own), size, (kind, n_forms, _, p, variances) in zip(held, sizes, small):
+                    if not len(places):
+                        total.append(np.zeros((len(g), size)))
+                    else:
+                        total.append(sums_of_many(g[:, places], own, variances, p) if kind == "many" else sums_of(g[:, places], own, n_forms))
                 runs.append(batch.column(0)[row].as_py())
                 snps.append(names)
                 sums.append(np.concatenate(total, axis=1).ravel())
@@ -184,20 +190,22 @@ def score_slices(
 
     dealt = both.repartition("bucket", "lane").sortWithinPartitions("bucket", "lane", "kind", "run")
     parts = dealt.mapInArrow(multiply, "run long, snps binary, sums array<double>")
-    names = [f"{m}_{c}" for m in models for c in ("num", "info", "var")]
+    names = [f"{m}_{c}" for m in tests for c in ("num", "info", "var")]
     schema = T.StructType([variants.schema["snp"], *[T.StructField(c, T.DoubleType()) for c in names]])
 
     def finish(rows: pa.Table) -> pa.Table:
         snp = _unpack(rows.column("snps")[0].as_py()).column("snp")
         total = sum(v.values.to_numpy() for v in rows.column("sums")).reshape(len(snp), -1)
-        done = [fam.finish(part, a, p) for part, a, p in zip(np.split(total, np.cumsum(sizes)[:-1], axis=1), arrays, ps)]
+        done = []
+        for part, (kind, _, arrays, p, _) in zip(np.split(total, np.cumsum(sizes)[:-1], axis=1), small):
+            done += finish_many(part, arrays, p) if kind == "many" else [fam.finish(part, arrays, p)]
         return pa.table([snp, *[pa.array(c, mask=np.isnan(c)) for d in done for c in d.T]], names=["snp", *names])
 
     found = parts.groupBy("run").applyInArrow(finish, schema)
     columns = [F.col("snp")]
-    for m in models:
+    for m in tests:
         num, info, var = (F.col(f"{m}_{c}") for c in ("num", "info", "var"))
         columns += [(num * num / var).alias(f"{m}_t_score"), (num / info).alias(f"{m}_beta"), (var / (info * info)).alias(f"{m}_var_beta")]
     found = found.select(*columns)
-    found = found.withColumns({f"{m}_neg_log10_p": F.expr(neg_log10_p(f"{m}_t_score")) for m in models})
-    return found.select("snp", *[f"{m}_{c}" for m in models for c in ("t_score", "neg_log10_p", "beta", "var_beta")])
+    found = found.withColumns({f"{m}_neg_log10_p": F.expr(neg_log10_p(f"{m}_t_score")) for m in tests})
+    return found.select("snp", *[f"{m}_{c}" for m in tests for c in ("t_score", "neg_log10_p", "beta", "var_beta")])

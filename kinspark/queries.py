@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinspark.functions.normal import CHI2_MEDIAN, neg_log10_p, quantile
 from kinspark.operators import blocks, prep, tables
 from kinspark.operators.eachvariant import score_each
+from kinspark.operators.many import fit_many, score_many
 from kinspark.operators.nullmodel import fit_joint, fit_single
 from kinspark.operators.scoretest import calibration, score
 from kinspark.sources.cohort import brand_dosages, cohort, pair_grm, part_dosages, table
@@ -238,12 +239,12 @@ def scan_sql(where: str, response: str, ddof: int, extra: str = "") -> str:
 m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM d),
 r AS (SELECT iid, x - mx AS xc, y - my - sxy / sxx * (x - mx) AS e, n, sxx, (syy - sxy * sxy / sxx) / (n - {ddof}) AS v FROM d, m),
 a AS (SELECT snp, sum(g * e) AS u, sum(g * g) - sum(g) ** 2 / any_value(n) - sum(g * xc) ** 2 / any_value(sxx) AS q, any_value(v) AS v FROM geno JOIN r USING (iid) GROUP BY 1),
-t AS (SELECT snp, u * u / (v * q) AS t, u / q AS beta, v / q AS var_beta FROM a WHERE q > 1e-6)
+t AS (SELECT snp, CASE WHEN q > 1e-9 THEN u * u / (v * q) END AS t, CASE WHEN q > 1e-9 THEN u / q END AS beta, CASE WHEN q > 1e-9 THEN v / q END AS var_beta FROM a)
 SELECT snp, round(t, 6) AS t_score, round({neg_log10_p('t')}, 6) AS neg_log10_p, round(beta, 6) AS beta, round(var_beta, 6) AS var_beta FROM t"""
 
 
 def _tidy(results: DataFrame) -> DataFrame:
-    return rounded(results.filter("t_score is not null"), "t_score", "neg_log10_p", "beta", "var_beta")
+    return rounded(results, "t_score", "neg_log10_p", "beta", "var_beta")
 
 
 def _scan(spark: SparkSession, sf_dir: str, people: DataFrame, response: str, covariance: str, grm: DataFrame | None = None, floor: float | None = None) -> DataFrame:
@@ -302,7 +303,7 @@ g AS (SELECT snp, sum(a.g * u) AS u, sum(a.g * a0) AS a0, sum(a.g * a1) AS a1, s
     any_value(i00) AS i00, any_value(i01) AS i01, any_value(i11) AS i11
     FROM geno a JOIN u ON a.iid = u.iid LEFT JOIN (SELECT snp AS snp_, iid AS iid_, g FROM geno) b ON b.iid_ = u.other AND b.snp_ = a.snp GROUP BY 1),
 v AS (SELECT snp, u, gg - i00 * a0 * a0 - 2 * i01 * a0 * a1 - i11 * a1 * a1 AS v FROM g),
-r AS (SELECT snp, u * u / v AS t, u / v AS beta, 1 / v AS var_beta FROM v WHERE v > 1e-6)
+r AS (SELECT snp, CASE WHEN v > 1e-9 THEN u * u / v END AS t, CASE WHEN v > 1e-9 THEN u / v END AS beta, CASE WHEN v > 1e-9 THEN 1 / v END AS var_beta FROM v)
 SELECT snp, round(t, 6) AS t_score, round({neg_log10_p('t')}, 6) AS neg_log10_p, round(beta, 6) AS beta, round(var_beta, 6) AS var_beta FROM r"""
 
 
@@ -326,13 +327,80 @@ def grm_hat_unobserved_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grm_scan(spark, sf_dir, "y_obs is null", "s", None)
 
 
-@query()
+def _inverse(m: str, p: int) -> dict[tuple[int, int], str]:
+    """Entries of the inverse of a symmetric matrix of 2 or 3 rows; m00, m01, ... are the columns of its upper triangle."""
+    at = lambda i, j: f"{m}{min(i, j)}{max(i, j)}"
+    if p == 2:
+        whole = f"({m}00 * {m}11 - {m}01 * {m}01)"
+        return {(0, 0): f"{m}11 / {whole}", (0, 1): f"-{m}01 / {whole}", (1, 1): f"{m}00 / {whole}"}
+
+    def minor(i: int, j: int) -> str:
+        (r, t), (c, d) = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+        return f"({at(r, c)} * {at(t, d)} - {at(r, d)} * {at(t, c)})"
+
+    whole = "(" + " + ".join(f"{'-' * (j % 2)}{at(0, j)} * {minor(0, j)}" for j in range(3)) + ")"
+    return {(i, j): f"{'-' * ((i + j) % 2)}{minor(i, j)} / {whole}" for i in range(3) for j in range(i, 3)}
+
+
+def joint_sql(xs: list[str], where: str = "true", related: bool = True, floor: bool = True, extra: str = "") -> str:
+    """The joint test of families of one or two people, both of whom have a target or neither: all matrices of a family have one value on the diagonal
+    and one off it, and so have their products and inverses. related: else the people are taken as unrelated."""
+    p = len(xs) + 1
+    dims, pairs = range(p), [(i, j) for i in range(p) for j in range(i, p)]
+    both = ", ".join
+    x = lambda i, tail="": f"x{i}{tail}"
+    inv = lambda m: both(f"{e} AS {m}i{i}{j}" for (i, j), e in _inverse(m, p).items())
+    entry = lambda m, i, j: f"{m}i{min(i, j)}{max(i, j)}"
+    times = lambda m, vec, i: "(" + " + ".join(f"{entry(m, i, j)} * {vec}{j}" for j in dims) + ")"
+    dot = lambda a, b: "(" + " + ".join(f"{a}{i} * {b}{i}" for i in dims) + ")"
+    act = lambda m, z: f"({m}d * {z} + {m}o * coalesce({z}_, 0))"
+    tau = "sum(0.5 * {0} * {1}_) / sum(CASE WHEN {2}_ IS NOT NULL AND {2} IS NOT NULL THEN 0.25 END)" if related else "0"
+    over = "{n}" if related else "({n} - 1)"
+    floored = (lambda e: f"greatest({e}, 0.01)") if floor else (lambda e: e)
+    return f"""WITH {COHORT}, {DOSAGES}{extra}, k AS (SELECT * FROM cohort WHERE {where}),
+d AS (SELECT iid, family, 1.0::DOUBLE AS x0, {both(f"{c} - avg({c}) OVER () AS x{i}" for i, c in enumerate(xs, 1))}, s, y_obs AS y FROM k),
+g AS (SELECT count(*) AS n, count(y) AS no, {both(f"sum(x{i} * x{j}) AS g{i}{j}, sum(x{i} * x{j}) FILTER (WHERE y IS NOT NULL) AS h{i}{j}" for i, j in pairs)},
+    {both(f"sum(x{i} * s) AS gs{i}, sum(x{i} * y) AS hy{i}" for i in dims)} FROM d),
+gi AS (SELECT *, {inv("g")}, {inv("h")} FROM g),
+e AS (SELECT iid, family, {both(map(x, dims))}, n, no, s - ({" + ".join(f"x{i} * {times('g', 'gs', i)}" for i in dims)}) AS s,
+    y - ({" + ".join(f"x{i} * {times('h', 'hy', i)}" for i in dims)}) AS t FROM d, gi),
+p AS (SELECT a.*, b.iid AS other, {both(f"b.x{i} AS x{i}_" for i in dims)}, b.s AS s_, b.t AS t_ FROM e a LEFT JOIN e b ON {'a.family = b.family AND a.iid <> b.iid' if related else 'false'}),
+v AS (SELECT {tau.format('s', 's', 's')} AS ts, {tau.format('t', 't', 't')} AS tt, {tau.format('s', 't', 't')} AS tx,
+    sum(s * s) AS ss, sum(t * t) AS st, sum(s * t) AS sx, any_value(n) AS n, any_value(no) AS no FROM p),
+c AS (SELECT ts, tt, tx, (ss - ts * n) / {over.format(n='n')} AS us, {floored(f"(st - tt * no) / {over.format(n='no')}")} AS ut, (sx - tx * no) / {over.format(n='no')} AS ux FROM v),
+q AS (SELECT p.*, CASE WHEN other IS NULL THEN 0 ELSE 0.5 END AS k, ts + us AS a, ts * k AS b, a / (a * a - b * b) AS qd, -b / (a * a - b * b) AS qo,
+    tx + ux AS xa, tx * k AS xb, xa * qd + xb * qo AS dd, xa * qo + xb * qd AS do_, tt + ut - (dd * xa + do_ * xb) AS od, tt * k - (dd * xb + do_ * xa) AS oo,
+    CASE WHEN t IS NULL THEN 0 ELSE od / (od * od - oo * oo) END AS vd, CASE WHEN t IS NULL THEN 0 ELSE -oo / (od * od - oo * oo) END AS vo,
+    vd * dd + vo * do_ AS hd, vd * do_ + vo * dd AS ho FROM p, c),
+f AS (SELECT iid, other, qd, qo, vd, vo, hd, ho, {both(map(x, dims))}, {act('q', 's')} AS w, CASE WHEN t IS NULL THEN 0 ELSE {act('v', 't')} END - {act('h', 's')} AS u,
+    {both(f"{act(m, x(i))} AS {m}x{i}" for m in "qvh" for i in dims)} FROM q),
+s AS (SELECT {both(f"sum(x{i} * qx{j}) AS A{i}{j}, sum(x{i} * vx{j}) AS C{i}{j}" for i, j in pairs)}, {both(f"sum(x{i} * hx{j}) AS Z{i}{j}" for i in dims for j in dims)},
+    {both(f"sum(x{i} * w) AS B{i}, sum(x{i} * u) AS R{i}" for i in dims)} FROM f),
+si AS (SELECT *, {inv("A")}, {inv("C")} FROM s),
+m AS (SELECT a.snp, sum(a.g * w) AS b, sum(a.g * u) AS w, {both(f"sum(a.g * qx{i}) AS a{i}, sum(a.g * vx{i}) AS c{i}, sum(a.g * hx{i}) AS l{i}" for i in dims)},
+    {both(f"sum(a.g * a.g * {m}d + a.g * coalesce(o.g, 0) * {m}o) AS {m}gg" for m in "qvh")}
+    FROM geno a JOIN f ON a.iid = f.iid LEFT JOIN geno o ON o.iid = f.other AND o.snp = a.snp GROUP BY 1),
+z AS (SELECT m.*, si.*, {both(f"{times('A', 'a', i)} AS am{i}, {times('C', 'c', i)} AS ga{i}, {times('A', 'B', i)} AS fb{i}" for i in dims)} FROM m, si),
+y2 AS (SELECT *, qgg - {dot('a', 'am')} AS own_, vgg - {dot('c', 'ga')} AS info, hgg - {dot('ga', 'l')} AS dg, (b - {dot('am', 'B')}) / own_ AS alpha,
+    {both(f"l{i} - ({' + '.join(f'Z{j}{i} * ga{j}' for j in dims)}) AS dx{i}" for i in dims)} FROM z WHERE qgg - {dot('a', 'am')} > 1e-9),
+y3 AS (SELECT *, w - {dot('ga', 'R')} + dg * alpha + {" + ".join(f"dx{i} * (fb{i} - am{i} * alpha)" for i in dims)} AS num,
+    info + {" + ".join(f"dx{i} * {times('A', 'dx', i)}" for i in dims)} + (dg - {dot('dx', 'am')}) ** 2 / own_ AS var FROM y2),
+r AS (SELECT m.snp, CASE WHEN info > 1e-9 AND var > 1e-9 THEN num * num / var END AS t, CASE WHEN info > 1e-9 AND var > 1e-9 THEN num / info END AS beta,
+    CASE WHEN info > 1e-9 AND var > 1e-9 THEN var / (info * info) END AS var_beta FROM m LEFT JOIN y3 ON m.snp = y3.snp)
+SELECT snp, round(t, 6) AS t_score, round({neg_log10_p('t')}, 6) AS neg_log10_p, round(beta, 6) AS beta, round(var_beta, 6) AS var_beta FROM r"""
+
+
+DIAG_JOINT = joint_sql(["x1", "x2"], "iid IN (SELECT iid FROM independent)", related=False, floor=False, extra=f", {ONE_EACH}")
+GRM_JOINT = joint_sql(["x1", "x2"])
+
+
+@query(GRM_JOINT)
 def grm_joint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = cohort(spark, sf_dir)
     return _tidy(score(brand_dosages(spark, sf_dir), fit_joint(people, pair_grm(people), ["x1", "x2"])))
 
 
-@query()
+@query(DIAG_JOINT)
 def diag_joint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(score(brand_dosages(spark, sf_dir), fit_joint(independent(cohort(spark, sf_dir)), None, ["x1", "x2"], covariance="diag")))
 
@@ -353,6 +421,16 @@ def grm_observed_unfloored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grm_scan(spark, sf_dir, "y_obs is not null", "y_obs", None)
 
 
+#: Responses of one fit: SQL text of each, over the cohort's columns.
+RESPONSES = {f"p{k:02d}": f"y + {k} * s / 10.0 + (iid * {7 + k} % 11) / 5.0" for k in range(20)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS phenotype, * FROM ({grm_sql('true', e, True)})" for name, e in RESPONSES.items()))
+def many_response_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = cohort(spark, sf_dir).withColumns({name: F.expr(e.replace("10.0", "10e0").replace("5.0", "5e0")) for name, e in RESPONSES.items()})
+    return _tidy(score_many(brand_dosages(spark, sf_dir), fit_many(people, pair_grm(people), ["x1"], list(RESPONSES), "grm", 0.01)))
+
+
 def _first_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     dosages = brand_dosages(spark, sf_dir)
     return dosages.filter(F.col("snp") == table(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0])
@@ -386,13 +464,13 @@ def diag_observed_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(score(_first_variant(spark, sf_dir), fit_single(people, None, ["x1"], "y_obs", "diag"), 1))
 
 
-@query()
+@query(first_sql(GRM_JOINT))
 def grm_joint_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = cohort(spark, sf_dir)
     return _tidy(score(_first_variant(spark, sf_dir), fit_joint(people, pair_grm(people), ["x1", "x2"]), 1))
 
 
-@query()
+@query(first_sql(DIAG_JOINT))
 def diag_joint_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(score(_first_variant(spark, sf_dir), fit_joint(independent(cohort(spark, sf_dir)), None, ["x1", "x2"], covariance="diag"), 1))
 
@@ -413,7 +491,10 @@ def single_method_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.side_by_side({m: scan(spark, sf_dir) for m, scan in scans.items()})
 
 
-@query()
+@query(table_sql({
+    "grm_joint": GRM_JOINT, "grm_observed": grm_sql("y_obs IS NOT NULL", "y_obs", True), "diag_joint": DIAG_JOINT,
+    "diag_observed": scan_sql("y_obs IS NOT NULL AND iid IN (SELECT iid FROM independent)", "y_obs", 1, f", {ONE_EACH}"),
+}))
 def four_method_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = {"grm_joint": grm_joint_scan, "grm_observed": grm_observed_scan, "diag_joint": diag_joint_scan, "diag_observed": diag_obs_scan}
     return tables.side_by_side({m: scan(spark, sf_dir) for m, scan in scans.items()})
