@@ -26,7 +26,7 @@ MEMBERS = "iid long, bucket int, block long, w array<double>, f array<double>"
 @dataclass
 class NullModel:
     """kind: "single" or "joint". members: a row per person, with linear weights `w`, and in `f` the person's rows of the
-    quadratic forms over the block. arrays: as families.solve_sums."""
+    quadratic forms over the block. arrays: as families.solve_sums. related: False if all blocks are single people."""
 
     kind: str
     members: DataFrame
@@ -34,6 +34,7 @@ class NullModel:
     variances: fam.Variances
     p: int
     n: int
+    related: bool = True
 
     @property
     def n_forms(self) -> int:
@@ -135,9 +136,27 @@ def _by_bucket(ready: Prepared, work, schema: str) -> DataFrame:  # noqa: ANN001
     return ready.people.groupBy("bucket").cogroup(ready.entries.groupBy("bucket")).applyInArrow(work, schema)
 
 
+def _native_moments(ready: Prepared) -> tuple[fam.Moments, fam.Moments]:
+    """Of unrelated people, by one aggregation."""
+    z = [*[F.col(f"x{k}") for k in range(ready.p)], F.col("s"), F.coalesce("t", F.lit(0.0))]
+    pairs = [(a, b) for a in range(len(z)) for b in range(a + 1)]
+    seen = F.col("t").isNotNull()
+    sums = [F.coalesce(F.sum(v), F.lit(0.0)) for a, b in pairs for v in (z[a] * z[b], F.when(seen, z[a] * z[b]))]
+    row = ready.people.agg(F.count_if(seen), *sums).first()
+    found = []
+    for n, values in ((ready.n, row[1::2]), (row[0], row[2::2])):
+        zz = np.zeros((len(z), len(z)))
+        for (a, b), v in zip(pairs, values):
+            zz[a, b] = zz[b, a] = v
+        found.append(fam.Moments(n, n, 0.0, zz, np.zeros_like(zz)))
+    return tuple(found)
+
+
 def gathered(ready: Prepared) -> tuple[fam.Moments, fam.Moments]:
     """Moments of all people, and of those with a target."""
     p = ready.p
+    if ready.entries is None:
+        return _native_moments(ready)
 
     def sums(people: pa.Table, entries: pa.Table | None) -> pa.Table:
         _, stacks, z, seen = _bucket(people, entries, p)
@@ -146,6 +165,32 @@ def gathered(ready: Prepared) -> tuple[fam.Moments, fam.Moments]:
     return fam.Moments.of(collected_sum(_by_bucket(ready, sums, "sums array<double>"), "sums"), p + 2)
 
 
+def _unrelated_model(kind: str, ready: Prepared, every: fam.Moments, seen: fam.Moments, variances: fam.Variances, turn: np.ndarray) -> NullModel:
+    """The forms are numbers, so weights are sums of columns, and their sums follow from the moments."""
+    p = ready.p
+    own = variances.s[1]
+    if own <= 0:
+        raise np.linalg.LinAlgError("a covariance is not positive definite")
+    x = [F.col(f"x{k}") for k in range(p)]
+    weigh = lambda e: sum((F.col(c) * float(v) for c, v in zip([*[f"x{k}" for k in range(p)], "s", "t"], e) if v), F.lit(0.0))
+    e_s = weigh(turn[:, 0])
+    w, f = [e_s / own, *[c / own for c in x]], [F.lit(1 / own)]
+    xw = [every.zz[:p] @ turn[:, 0] / own, *(every.zz[:p, :p] / own).T]
+    if kind == "joint":
+        cross = variances.ts[1] / own
+        left = variances.t[1] - variances.ts[1] * cross
+        if left <= 0:
+            raise np.linalg.LinAlgError("a covariance is not positive definite")
+        v, h = 1 / left, cross / left
+        known = lambda c: F.when(F.col("t").isNotNull(), c).otherwise(0.0)
+        w += [known(weigh(turn[:, 1]) * v - e_s * h), *[known(c * v) for c in x], *[known(c * h) for c in x] * 2]
+        f += [known(F.lit(v)), known(F.lit(h))]
+        xx = seen.zz[:p, :p]
+        xw += [seen.zz[:p] @ (turn[:, 1] * v - turn[:, 0] * h), *(xx * v).T, *(xx * h).T, *(xx * h).T]
+    members = ready.people.select("iid", "bucket", "block", F.array(*w).alias("w"), F.array(*f).alias("f"))
+    return NullModel(kind, members, fam.solve_sums(np.stack(xw, axis=1), p), variances, p, ready.n, related=False)
+
+
 def _model(kind: str, ready: Prepared, variances: fam.Variances, turn: np.ndarray) -> NullModel:
     """turn: weights of z's columns that give the residual of s, and of t (columns)."""
     p = ready.p
@@ -179,7 +224,7 @@ def fit_single(
     """One response, known in all rows of people (iid, block, xs, response). covariance: "grm", "diag" (variance over n - 1) or
     "ols" (over n - p). block: the column of the family; None to have blocks found in the matrix."""
     ready = prepared(people, grm, xs, response, None, block, covariance)
-    every, _ = gathered(ready)
+    every, seen = gathered(ready)
     p = ready.p
     e = fam.residual(every.zz, p, p)
     if covariance == "grm":
@@ -188,6 +233,8 @@ def fit_single(
         s = (0.0, float(e @ every.zz @ e) / (ready.n - (1 if covariance == "diag" else p)))
     turn = np.zeros((p + 2, 1))
     turn[:, 0] = e
+    if covariance != "grm":
+        return _unrelated_model("single", ready, every, seen, fam.Variances(s), turn)
     return _model("single", ready, fam.Variances(s), turn)
 
 
@@ -209,4 +256,7 @@ def fit_joint(
     every, seen = gathered(ready)
     p = ready.p
     e_s, e_t = fam.residual(every.zz, p, p), fam.residual(seen.zz, p, p + 1)
-    return _model("joint", ready, joint_variances(every, seen, e_s, e_t, covariance, floor), np.stack((e_s, e_t), axis=1))
+    variances, turn = joint_variances(every, seen, e_s, e_t, covariance, floor), np.stack((e_s, e_t), axis=1)
+    if covariance != "grm":
+        return _unrelated_model("joint", ready, every, seen, variances, turn)
+    return _model("joint", ready, variances, turn)

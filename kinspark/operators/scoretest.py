@@ -32,6 +32,8 @@ BATCH_VARIANTS = 100
 def dealt(genotype: DataFrame, members: DataFrame, variants: int | None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Dosages, and people repeated for each tile, with the columns tile and bucket."""
     if variants is None:
+        # read twice, so made once
+        genotype = genotype.select("snp", "iid", "g", *extra).checkpoint()
         variants = genotype.select(F.approx_count_distinct("snp")).first()[0]
     tiles = max(1, -(-variants // TILE_VARIANTS))
     tile = F.pmod(F.xxhash64("snp"), F.lit(tiles)).cast("int")
@@ -115,9 +117,50 @@ def finished(found: DataFrame, keys: tuple[str, ...] = ("snp",)) -> DataFrame:
     return done.withColumn("neg_log10_p", F.expr(neg_log10_p("t_score"))).select(*keys, *RESULT[1:])
 
 
+def _native_tests(genotype: DataFrame, model: NullModel) -> DataFrame:
+    """snp, num, info, var for unrelated people: a join and sums, and families.finish as expressions over them."""
+    p, arrays, width = model.p, model.arrays, model.width - model.n_forms
+    dims = range(p)
+    # the weights of x by h, and by its transpose, are the same where forms are numbers
+    used = [k for k in range(width) if k < 2 + 3 * p]
+    people = model.members.select("iid", *[F.col("w")[k].alias(f"w{k}") for k in used], *[F.col("f")[k].alias(f"f{k}") for k in range(model.n_forms)])
+    g = F.coalesce(F.col("g").cast("double"), F.lit(0.0))
+    rows = genotype.select("snp", "iid", g.alias("g")).join(people, "iid").groupBy("snp").agg(
+        *[F.sum(F.col("g") * F.col(f"w{k}")).alias(f"w{k}") for k in used], *[F.sum(F.col("g") * F.col("g") * F.col(f"f{k}")).alias(f"f{k}") for k in range(model.n_forms)]
+    )
+    col = lambda k: F.col(f"w{k}")
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b)), F.lit(0.0))
+    numbers = lambda a: [F.lit(float(v)) for v in a]
+    times = lambda m, name: [dot(numbers(row), [F.col(f"{name}{j}") for j in dims]) for row in m]
+
+    def named(df: DataFrame, name: str, columns: list) -> DataFrame:
+        return df.select("*", *[c.alias(f"{name}{i}") for i, c in enumerate(columns)])
+
+    vec = lambda name: [F.col(f"{name}{i}") for i in dims]
+    rows = named(rows, "a", [col(1 + i) for i in dims])
+    rows = named(rows, "am", times(arrays["a22"], "a"))
+    rows = rows.withColumn("own", F.col("f0") - dot(vec("a"), vec("am")))
+    if model.kind == "single":
+        rows = rows.select("snp", (col(0) - dot(vec("am"), numbers(arrays["bx"]))).alias("num"), F.col("own").alias("info"), F.col("own").alias("var"))
+    else:
+        rows = named(named(rows, "c", [col(2 + p + i) for i in dims]), "l", [col(2 + 2 * p + i) for i in dims])
+        rows = named(rows, "ga", times(arrays["c"], "c"))
+        rows = rows.withColumn("info", F.col("f1") - dot(vec("c"), vec("ga"))).withColumn("dg", F.col("f2") - dot(vec("ga"), vec("l")))
+        rows = rows.withColumn("alpha", F.when(F.col("own") > 1e-9, (col(0) - dot(vec("am"), numbers(arrays["bx"]))) / F.col("own")))
+        rows = named(rows, "dx", [F.col(f"l{i}") - v for i, v in enumerate(times(arrays["vdx"].T, "ga"))])
+        fitted = [F.lit(float(v)) - F.col(f"am{i}") * F.col("alpha") for i, v in enumerate(arrays["a22"] @ arrays["bx"])]
+        num = col(1 + p) - dot(vec("ga"), numbers(arrays["vr"])) + F.col("dg") * F.col("alpha") + dot(vec("dx"), fitted)
+        var = F.col("info") + dot(vec("dx"), times(arrays["a22"], "dx")) + F.pow(F.col("dg") - dot(vec("dx"), vec("am")), 2) / F.when(F.col("own") > 1e-9, F.col("own"))
+        rows = rows.select("snp", num.alias("num"), "info", var.alias("var"))
+    good = (F.col("info") > 1e-9) & (F.col("var") > 1e-9)
+    return rows.select("snp", *[F.when(good, F.col(c)).alias(c) for c in ("num", "info", "var")])
+
+
 def score(genotype: DataFrame, model: NullModel, variants: int | None = None) -> DataFrame:
     """One row per variant with a dosage in the model's people: RESULT. genotype: snp, iid, g, without rows for dosages of 0; null
     dosages count as 0. variants: about how many there are, where known."""
+    if not model.related:
+        return finished(_native_tests(genotype, model))
     arrays, p = model.arrays, model.p
     parts = functionals(genotype, model, variants).groupBy("snp").agg(F.collect_list("sums").alias("sums"))
 
