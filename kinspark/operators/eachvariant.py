@@ -1,5 +1,9 @@
 """The joint test with a null model for each variant: the variant takes part in the surrogate's regression, so variances, and with them
-all inverses, are the variant's own."""
+all inverses, are the variant's own.
+
+A family that has a target for all of its people, or for none, has all its matrices in the eigenvectors of its relatedness: they are found once, and a
+variant's inverses are numbers over the eigenvalues. The inverses of other families are those of few distinct matrices and patterns of who is known.
+"""
 
 from __future__ import annotations
 
@@ -74,6 +78,70 @@ def _variances(sums: np.ndarray, every: fam.Moments, seen: fam.Moments, p: int,
     return np.array(out).reshape(-1, 6)
 
 
+def _scales(values: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Forms of families with all or no targets over their eigenvalues: variants x eigenvalues."""
+    lines = [v[:, k : k + 1] * values + v[:, k + 1 : k + 2] for k in (0, 2, 4)]
+    if (lines[0] <= 0).any():
+        raise np.linalg.LinAlgError("a covariance is not positive definite")
+    q = 1 / lines[0]
+    left = lines[1] - lines[2] ** 2 * q
+    return [q, left, lines[2] * q]
+
+
+def own_sums(g: np.ndarray, z: np.ndarray, seen: np.ndarray, found: list[fam.Stack], variances: np.ndarray, p: int) -> np.ndarray:
+    """For each variant (rows of g and variances) the sums of x'w and g'w for the weights' columns of families.weights, then g'Fg for the three
+    forms, all by the variant's variances. z: covariates, residuals of surrogate and target."""
+    k = 2 + 4 * p
+    xw, gw, gg = np.zeros((len(g), p, k)), np.zeros((len(g), k)), np.zeros((len(g), 3))
+    for stack in found:
+        known = seen[stack.members]
+        mixed = known.any(axis=1) & ~known.all(axis=1)
+        for targets in (True, False):
+            own = np.flatnonzero(~mixed & (known[:, 0] == targets))
+            if not len(own):
+                continue
+            members = stack.members[own]
+            values, u = np.linalg.eigh(stack.k[own])
+            zu = (np.swapaxes(u, 1, 2) @ z[members]).reshape(-1, p + 2)
+            gu = (np.ascontiguousarray(g[:, members].transpose(1, 0, 2)) @ u).transpose(1, 0, 2).reshape(len(g), -1)
+            q, left, slope = _scales(values.ravel(), variances)
+            if targets and (left <= 0).any():
+                raise np.linalg.LinAlgError("a covariance is not positive definite")
+            x, s, t = zu[:, :p], zu[:, p : p + 1], zu[:, p + 1 :]
+            v = 1 / left if targets else np.zeros_like(q)
+            h = v * slope if targets else v
+            # a form's products with x and with g of the columns that it turns
+            for form, columns, at in ((q, np.concatenate((s, x), axis=1), [0, *range(1, 1 + p)]), (v, np.concatenate((t, x), axis=1), [1 + p, *range(2 + p, 2 + 2 * p)])):
+                gw[:, at] += (gu * form) @ columns
+                xw[:, :, at] += (form @ (x[:, :, None] * columns[:, None, :]).reshape(len(x), -1)).reshape(len(g), p, -1)
+            if targets:
+                gh, xh = (gu * h) @ np.concatenate((s, x), axis=1), (h @ (x[:, :, None] * zu[:, None, : p + 1]).reshape(len(x), -1)).reshape(len(g), p, p + 1)
+                gw[:, 1 + p] -= gh[:, 0]
+                xw[:, :, 1 + p] -= xh[:, :, p]
+                for at in (2 + 2 * p, 2 + 3 * p):
+                    gw[:, at : at + p] += gh[:, 1:]
+                    xw[:, :, at : at + p] += xh[:, :, :p]
+            gg += np.stack([(gu * gu * form).sum(axis=1) for form in (q, v, h)], axis=1)
+        at = np.flatnonzero(mixed)
+        if not len(at):
+            continue
+        size = known.shape[1]
+        patterns = np.concatenate((stack.k[at].reshape(len(at), -1), known[at]), axis=1)
+        distinct, which = np.unique(patterns, axis=0, return_inverse=True)
+        tau = lambda c: (variances[:, c, None, None], variances[:, c + 1, None, None])
+        for d, pattern in enumerate(distinct):
+            members = stack.members[at[which.ravel() == d]]
+            q, v, h = fam.forms(pattern[: size * size].reshape(size, size), pattern[None, size * size :] > 0, fam.Variances(tau(0), tau(2), tau(4)))
+            own, rows = g[:, members], z[members]
+            x, s, t = rows[:, :, :p], rows[:, :, p : p + 1], rows[:, :, p + 1 :]
+            turn = lambda form, columns: np.einsum("mij,bjc->mbic", form, columns)
+            w = np.concatenate([turn(q, s), turn(q, x), turn(v, t) - turn(h, s), turn(v, x), turn(h, x), turn(np.swapaxes(h, 1, 2), x)], axis=3)
+            gw += np.einsum("mbi,mbic->mc", own, w)
+            xw += np.einsum("bia,mbic->mac", x, w)
+            gg += np.stack([np.einsum("mbi,mij,mbj->m", own, form, own) for form in (q, v, h)], axis=1)
+    return np.concatenate((xw.reshape(len(g), -1), gw, gg), axis=1)
+
+
 def score_each(
     genotype: DataFrame, people: DataFrame, grm: DataFrame, xs: list[str], floor: float | None = None, block: str | None = "family",
     target: str = "y_obs", surrogate: str = "s", variants: int | None = None,
@@ -113,7 +181,6 @@ def score_each(
     again = _base_copy(members)
 
     def second(dosages: pa.Table, people_: pa.Table) -> pa.Table:
-        k = 2 + 4 * p
         if not dosages.num_rows or not people_.num_rows:
             return pa.table({"snp": pa.array([], dosages.schema.field("snp").type), "sums": _lists(np.zeros((0, 1)))})
         given = dosages.filter(pc.is_null(dosages.column("iid")))
@@ -124,15 +191,11 @@ def score_each(
         e = z @ turn
         e[~seen, 1:] = 0
         z = np.concatenate((z[:, :p], e), axis=1)
-        out = np.zeros((len(variances), p * k + k + 3))
-        for row, (name, v) in zip(out, variances.items()):
-            w, parts_ = fam.weights(found, z, seen, fam.Variances(tuple(v[:2]), tuple(v[2:4]), tuple(v[4:6])), p)
-            row[: p * k] = (z[:, :p].T @ w).ravel()
+        every_g = np.zeros((len(variances), len(z)))
+        for row, name in enumerate(variances):
             if name in places:
-                one = g[places[name]][None, :]
-                row[p * k : -3] = (one @ w)[0]
-                for f in range(3):
-                    row[p * k + k + f] = sum(fam.quadratic(one, s.members, forms[f])[0] for s, forms in zip(found, parts_))
+                every_g[row] = g[places[name]]
+        out = own_sums(every_g, z, seen, found, np.array(list(variances.values())), p)
         return pa.table({"snp": pa.array(list(variances), dosages.schema.field("snp").type), "sums": _lists(out)})
 
     schema = T.StructType([T.StructField("snp", snp_type), T.StructField("sums", sums)])

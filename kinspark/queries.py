@@ -342,10 +342,11 @@ def _inverse(m: str, p: int) -> dict[tuple[int, int], str]:
     return {(i, j): f"{'-' * ((i + j) % 2)}{minor(i, j)} / {whole}" for i in range(3) for j in range(i, 3)}
 
 
-def joint_sql(xs: list[str], where: str = "true", related: bool = True, floor: bool = True, extra: str = "") -> str:
+def joint_sql(xs: list[str], where: str = "true", related: bool = True, floor: bool = True, extra: str = "", own: bool = False) -> str:
     """The joint test of families of one or two people, both of whom have a target or neither: all matrices of a family have one value on the diagonal
-    and one off it, and so have their products and inverses. related: else the people are taken as unrelated."""
-    p = len(xs) + 1
+    and one off it, and so have their products and inverses. related: else the people are taken as unrelated. own: the variant takes part in the
+    surrogate's regression, so variances, and all that follows from them, are the variant's."""
+    p, key, by = len(xs) + 1, "snp, " if own else "", " GROUP BY snp" if own else ""
     dims, pairs = range(p), [(i, j) for i in range(p) for j in range(i, p)]
     both = ", ".join
     x = lambda i, tail="": f"x{i}{tail}"
@@ -357,6 +358,13 @@ def joint_sql(xs: list[str], where: str = "true", related: bool = True, floor: b
     tau = "sum(0.5 * {0} * {1}_) / sum(CASE WHEN {2}_ IS NOT NULL AND {2} IS NOT NULL THEN 0.25 END)" if related else "0"
     over = "{n}" if related else "({n} - 1)"
     floored = (lambda e: f"greatest({e}, 0.01)") if floor else (lambda e: e)
+    off = lambda tail: " + ".join(f"x{i}{tail} * w{i}" for i in dims)
+    each = "" if not own else f"""
+w1 AS (SELECT n.snp, p.*, coalesce(a.g, 0) AS g1, coalesce(b.g, 0) AS g1_ FROM p CROSS JOIN (SELECT DISTINCT snp FROM geno JOIN k USING (iid)) n
+    LEFT JOIN geno a ON a.snp = n.snp AND a.iid = p.iid LEFT JOIN geno b ON b.snp = n.snp AND b.iid = p.other),
+w2 AS (SELECT snp, {both(f"sum(x{i} * g1) AS xg{i}" for i in dims)}, sum(g1 * g1) AS gg, sum(g1 * s) AS sg FROM w1 GROUP BY 1),
+w3 AS (SELECT snp, {both(f"{times('g', 'xg', i)} AS w{i}" for i in dims)}, sg / (gg - ({" + ".join(f"xg{i} * {times('g', 'xg', i)}" for i in dims)})) AS slope FROM w2, gi),
+pv AS (SELECT snp, s - slope * (g1 - ({off('')})) AS s, s_ - slope * (g1_ - ({off('_')})) AS s_, t, t_, n, no FROM w1 JOIN w3 USING (snp)),"""
     return f"""WITH {COHORT}, {DOSAGES}{extra}, k AS (SELECT * FROM cohort WHERE {where}),
 d AS (SELECT iid, family, 1.0::DOUBLE AS x0, {both(f"{c} - avg({c}) OVER () AS x{i}" for i, c in enumerate(xs, 1))}, s, y_obs AS y FROM k),
 g AS (SELECT count(*) AS n, count(y) AS no, {both(f"sum(x{i} * x{j}) AS g{i}{j}, sum(x{i} * x{j}) FILTER (WHERE y IS NOT NULL) AS h{i}{j}" for i, j in pairs)},
@@ -364,23 +372,23 @@ g AS (SELECT count(*) AS n, count(y) AS no, {both(f"sum(x{i} * x{j}) AS g{i}{j},
 gi AS (SELECT *, {inv("g")}, {inv("h")} FROM g),
 e AS (SELECT iid, family, {both(map(x, dims))}, n, no, s - ({" + ".join(f"x{i} * {times('g', 'gs', i)}" for i in dims)}) AS s,
     y - ({" + ".join(f"x{i} * {times('h', 'hy', i)}" for i in dims)}) AS t FROM d, gi),
-p AS (SELECT a.*, b.iid AS other, {both(f"b.x{i} AS x{i}_" for i in dims)}, b.s AS s_, b.t AS t_ FROM e a LEFT JOIN e b ON {'a.family = b.family AND a.iid <> b.iid' if related else 'false'}),
-v AS (SELECT {tau.format('s', 's', 's')} AS ts, {tau.format('t', 't', 't')} AS tt, {tau.format('s', 't', 't')} AS tx,
-    sum(s * s) AS ss, sum(t * t) AS st, sum(s * t) AS sx, any_value(n) AS n, any_value(no) AS no FROM p),
-c AS (SELECT ts, tt, tx, (ss - ts * n) / {over.format(n='n')} AS us, {floored(f"(st - tt * no) / {over.format(n='no')}")} AS ut, (sx - tx * no) / {over.format(n='no')} AS ux FROM v),
-q AS (SELECT p.*, CASE WHEN other IS NULL THEN 0 ELSE 0.5 END AS k, ts + us AS a, ts * k AS b, a / (a * a - b * b) AS qd, -b / (a * a - b * b) AS qo,
+p AS (SELECT a.*, b.iid AS other, {both(f"b.x{i} AS x{i}_" for i in dims)}, b.s AS s_, b.t AS t_ FROM e a LEFT JOIN e b ON {'a.family = b.family AND a.iid <> b.iid' if related else 'false'}),{each}
+v AS (SELECT {key}{tau.format('s', 's', 's')} AS ts, {tau.format('t', 't', 't')} AS tt, {tau.format('s', 't', 't')} AS tx,
+    sum(s * s) AS ss, sum(t * t) AS st, sum(s * t) AS sx, any_value(n) AS n, any_value(no) AS no FROM {'pv' if own else 'p'}{by}),
+c AS (SELECT {key}ts, tt, tx, (ss - ts * n) / {over.format(n='n')} AS us, {floored(f"(st - tt * no) / {over.format(n='no')}")} AS ut, (sx - tx * no) / {over.format(n='no')} AS ux FROM v),
+q AS (SELECT {key}p.*, CASE WHEN other IS NULL THEN 0 ELSE 0.5 END AS k, ts + us AS a, ts * k AS b, a / (a * a - b * b) AS qd, -b / (a * a - b * b) AS qo,
     tx + ux AS xa, tx * k AS xb, xa * qd + xb * qo AS dd, xa * qo + xb * qd AS do_, tt + ut - (dd * xa + do_ * xb) AS od, tt * k - (dd * xb + do_ * xa) AS oo,
     CASE WHEN t IS NULL THEN 0 ELSE od / (od * od - oo * oo) END AS vd, CASE WHEN t IS NULL THEN 0 ELSE -oo / (od * od - oo * oo) END AS vo,
     vd * dd + vo * do_ AS hd, vd * do_ + vo * dd AS ho FROM p, c),
-f AS (SELECT iid, other, qd, qo, vd, vo, hd, ho, {both(map(x, dims))}, {act('q', 's')} AS w, CASE WHEN t IS NULL THEN 0 ELSE {act('v', 't')} END - {act('h', 's')} AS u,
+f AS (SELECT {key}iid, other, qd, qo, vd, vo, hd, ho, {both(map(x, dims))}, {act('q', 's')} AS w, CASE WHEN t IS NULL THEN 0 ELSE {act('v', 't')} END - {act('h', 's')} AS u,
     {both(f"{act(m, x(i))} AS {m}x{i}" for m in "qvh" for i in dims)} FROM q),
-s AS (SELECT {both(f"sum(x{i} * qx{j}) AS A{i}{j}, sum(x{i} * vx{j}) AS C{i}{j}" for i, j in pairs)}, {both(f"sum(x{i} * hx{j}) AS Z{i}{j}" for i in dims for j in dims)},
-    {both(f"sum(x{i} * w) AS B{i}, sum(x{i} * u) AS R{i}" for i in dims)} FROM f),
+s AS (SELECT {key}{both(f"sum(x{i} * qx{j}) AS A{i}{j}, sum(x{i} * vx{j}) AS C{i}{j}" for i, j in pairs)}, {both(f"sum(x{i} * hx{j}) AS Z{i}{j}" for i in dims for j in dims)},
+    {both(f"sum(x{i} * w) AS B{i}, sum(x{i} * u) AS R{i}" for i in dims)} FROM f{by}),
 si AS (SELECT *, {inv("A")}, {inv("C")} FROM s),
 m AS (SELECT a.snp, sum(a.g * w) AS b, sum(a.g * u) AS w, {both(f"sum(a.g * qx{i}) AS a{i}, sum(a.g * vx{i}) AS c{i}, sum(a.g * hx{i}) AS l{i}" for i in dims)},
     {both(f"sum(a.g * a.g * {m}d + a.g * coalesce(o.g, 0) * {m}o) AS {m}gg" for m in "qvh")}
-    FROM geno a JOIN f ON a.iid = f.iid LEFT JOIN geno o ON o.iid = f.other AND o.snp = a.snp GROUP BY 1),
-z AS (SELECT m.*, si.*, {both(f"{times('A', 'a', i)} AS am{i}, {times('C', 'c', i)} AS ga{i}, {times('A', 'B', i)} AS fb{i}" for i in dims)} FROM m, si),
+    FROM geno a JOIN f ON a.iid = f.iid{' AND a.snp = f.snp' if own else ''} LEFT JOIN geno o ON o.iid = f.other AND o.snp = a.snp GROUP BY 1),
+z AS (SELECT m.*, si.*{' EXCLUDE (snp)' if own else ''}, {both(f"{times('A', 'a', i)} AS am{i}, {times('C', 'c', i)} AS ga{i}, {times('A', 'B', i)} AS fb{i}" for i in dims)} FROM m{' JOIN si USING (snp)' if own else ', si'}),
 y2 AS (SELECT *, qgg - {dot('a', 'am')} AS own_, vgg - {dot('c', 'ga')} AS info, hgg - {dot('ga', 'l')} AS dg, (b - {dot('am', 'B')}) / own_ AS alpha,
     {both(f"l{i} - ({' + '.join(f'Z{j}{i} * ga{j}' for j in dims)}) AS dx{i}" for i in dims)} FROM z WHERE qgg - {dot('a', 'am')} > 1e-9),
 y3 AS (SELECT *, w - {dot('ga', 'R')} + dg * alpha + {" + ".join(f"dx{i} * (fb{i} - am{i} * alpha)" for i in dims)} AS num,
@@ -405,7 +413,7 @@ def diag_joint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(score(brand_dosages(spark, sf_dir), fit_joint(independent(cohort(spark, sf_dir)), None, ["x1", "x2"], covariance="diag")))
 
 
-@query()
+@query(joint_sql(["x1"], own=True))
 def grm_each_variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = cohort(spark, sf_dir)
     return _tidy(score_each(brand_dosages(spark, sf_dir), people, pair_grm(people), ["x1"], floor=0.01))
