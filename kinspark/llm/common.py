@@ -44,6 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Keys up to so many are sent to all executors; numbers, so some megabytes at most.
+MOST_KEYS = 1_000_000
+
+
+def only(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose number in the column is among the keys, a table of few columns that has been written. Keys up to MOST_KEYS, by their count, are
+    broadcast, so that rows stay where they are."""
+    keys = keys.select(column)
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, column, "left_semi")
+
+
 #: Sums of tasks are added up in so many groups before they reach the driver.
 SLOTS = 32
 

@@ -271,13 +271,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all their columns; rows without an id stay.
-
-    An id names one document: rows that repeat it stay or go together.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.min("component_id").alias("_least")).filter("_least < _gone").select("_gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
