@@ -119,7 +119,8 @@ class Aligner:
     def tokens(self, text: str) -> tuple[list[int], list[int], list[bytes], list[bytes]] | None:
         """Ids of a text after a space by both, and the ids' bytes; None if the joined bytes of either differ from the text's."""
         whole = (" " + text).encode()
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
+        # the model adds no space to nothing; a space that ends a text is cut off it as any other
+        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text) if text else self.b.encode("a ")[len(self.b.encode("a")) :]
         part_a, part_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         return (a, b, part_a, part_b) if b"".join(part_a) == whole and b"".join(part_b) == whole else None
 
