@@ -52,18 +52,55 @@ def chosen_order(iid: Column, seed: int) -> Column:
     return (iid * 7919 + seed) % 10007
 
 
+def largest_blocks(ids: DataFrame, grm: DataFrame, thresholds: list[float]) -> DataFrame:
+    """level (place of the threshold, from 0), largest: the size of the largest block at each of some rising thresholds, by one scan of the entries. An entry
+    counts up to the last threshold that it reaches, and each level has a running maximum of its own."""
+    levels = len(thresholds)
+    reached = sum((F.when(F.abs("k") >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
+    far = grm.withColumn("_reached", reached).filter("_reached > 0").groupBy("i").agg(
+        *[F.max(F.when(F.col("_reached") > level, F.col("j"))).alias(f"m{level}") for level in range(levels)]
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.col(f"m{level}").alias("m")) for level in range(levels)]))
+    rows = ids.select(F.col("iid").alias("i")).join(far, "i", "left").select("i", each.alias("_e")).select("i", "_e.level", "_e.m")
+    reach = rows.select("level", "i", F.greatest("i", F.coalesce("m", "i")).alias("m"), F.floor(F.col("i") / SPAN).alias("part"))
+    before = Window.partitionBy("level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("level", "part").orderBy("i")
+    tops = reach.groupBy("level", "part").agg(F.max("m").alias("top")).select("level", "part", F.max("top").over(before).alias("top"))
+    run = reach.join(tops, ["level", "part"]).withColumn("run", F.greatest(F.max("m").over(own), F.coalesce("top", F.lit(-1))))
+    prior = F.coalesce(F.lag("run").over(own), F.coalesce("top", F.lit(-1)))
+    starts = run.withColumn("start", F.when(prior < F.col("i"), F.col("i")))
+    lasts = starts.groupBy("level", "part").agg(F.max("start").alias("s")).select("level", "part", F.max("s").over(before).alias("earlier"))
+    found = starts.join(lasts, ["level", "part"]).select("level", F.coalesce(F.max("start").over(own), "earlier").alias("block_id"))
+    return found.groupBy("level", "block_id").count().groupBy("level").agg(F.max("count").alias("largest"))
+
+
+#: Thresholds that one scan of the entries decides.
+LEVELS = 32
+
+
 def adaptive_blocks(
     ids: DataFrame, grm: DataFrame, most: int = 1000, start: float = 0.006, step: float = 0.001
 ) -> tuple[DataFrame, float]:
     """Blocks (iid, block_id) of at most `most` people, and the threshold that gives them: the first of start, start + step, ... that does.
-    Each threshold is a job over the entries; past the largest entry each person is a block, so it ends."""
-    entries, k = grm.select("i", "j", "k").checkpoint(), 0
-    while True:
-        threshold = round(start + k * step, 9)
-        found = blocks(ids, entries, threshold).checkpoint()
-        if (block_sizes(found).first()["largest"] or 0) <= most:
-            return found, threshold
-        k += 1
+    Higher thresholds give smaller blocks, and past the largest entry each person is one, so LEVELS thresholds are looked at in one job, and others between two of them only
+    where there are more. Entries that are not numbers raise."""
+    entries = grm.select("i", "j", "k").checkpoint()
+    row = entries.agg(F.max(F.abs("k")), F.count_if(F.isnan("k") | F.col("k").isNull())).first()
+    if row[1]:
+        raise ValueError(f"{row[1]} entries of the relatedness are not numbers")
+    if most < 1:
+        raise ValueError("a block has one person at least")
+    at = lambda k: round(start + k * step, 9)
+    low, high = 0, 0
+    while at(high) <= (row[0] or 0.0):
+        high += max(1, int(((row[0] or 0.0) - at(high)) / step))
+    while low < high:
+        tried = sorted({low + (high - 1 - low) * k // max(1, LEVELS - 1) for k in range(LEVELS)})
+        largest = {r["level"]: r["largest"] for r in largest_blocks(ids, entries, [at(k) for k in tried]).collect()}
+        good = [k for level, k in enumerate(tried) if (largest.get(level) or 0) <= most]
+        bad = [k for level, k in enumerate(tried) if (largest.get(level) or 0) > most]
+        low, high = (max(bad) + 1 if bad else low), (min(good) if good else high)
+    return blocks(ids, entries, at(low)), at(low)
 
 
 def inside(grm: DataFrame, block: DataFrame) -> tuple[DataFrame, int]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +51,51 @@ def correlations(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return found.select("f.feature", F.when(F.col("_all") == F.col("_y"), F.col("f.corr")).alias("corr"))
 
 
+#: Sums of tasks are added up in so many groups before they reach the driver.
+SLOTS = 32
+
+
+def _merged(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of two sets of rows: n, means of x and y, and sums of squares and products about the means, a column per feature."""
+    n = one[0] + two[0]
+    share = np.divide(two[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy, weight = two[1] - one[1], two[2] - one[2], one[0] * share
+    return np.stack((n, one[1] + dx * share, one[2] + dy * share, one[3] + two[3] + dx * dx * weight, one[4] + two[4] + dy * dy * weight, one[5] + two[5] + dx * dy * weight))
+
+
+def wide_correlations(df: DataFrame, names: list[str], vector: str, target: str) -> DataFrame:
+    """As correlations, for thousands of features that come as an array column: tasks add up arrays, so the plan does not grow with them. A feature without
+    spread, or that lacks a value, has null, and so have all if the target lacks one. Arrays of other lengths raise."""
+    width = len(names)
+
+    def state(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, mx, my = np.full(width, float(len(x))), x.mean(axis=0), y.mean()
+        dx, dy = x - mx, y - my
+        return np.stack((n, mx, np.full(width, my), (dx * dx).sum(axis=0), np.full(width, dy @ dy), dy @ dx))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, width))
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls are NaN, which spreads
+                total = _merged(total, state(flat.reshape(batch.num_rows, width), batch.column(1).to_numpy(zero_copy_only=False).astype(float)))
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["state"])
+
+    def merge(parts: pa.Table) -> pa.Table:
+        total = reduce(_merged, (v.values.to_numpy().reshape(6, width) for v in parts.column("state")))
+        return pa.table({"state": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+    right = F.size(vector) == width
+    x = F.when(right, F.col(vector).cast("array<double>")).otherwise(F.raise_error(F.lit(f"an array has other than {width} entries")))
+    rows = df.select(x.alias("x"), F.col(target).cast("double").alias("y"))
+    each = rows.mapInArrow(add, "state array<double>").withColumn("slot", F.spark_partition_id() % SLOTS)
+    parts = each.groupBy("slot").applyInArrow(merge, "state array<double>").collect()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        total = reduce(_merged, (np.array(r["state"]).reshape(6, width) for r in parts), np.zeros((6, width)))
+        found = total[5] / np.sqrt(total[3] * total[4])
+    return df.sparkSession.createDataFrame([(c, float(v) if np.isfinite(v) else None) for c, v in zip(names, found)], "feature string, corr double")
+
+
 def top_k(df: DataFrame, by: str, k: int, tie: str) -> DataFrame:
     """The k rows with the largest absolute value, nulls last."""
     return df.orderBy(F.abs(by).desc_nulls_last(), tie).limit(k)
@@ -68,6 +118,29 @@ def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
     return z.selectExpr("n1", "n0", "w", f"CASE WHEN n1 = 0 OR n0 = 0 THEN 0e0 ELSE {p} END AS neg_log10_p")
 
 
+def rank_sums(df: DataFrame, columns: list[str], value: str) -> DataFrame:
+    """column, n1, n0, w, neg_log10_p of rank_sum for many columns of two values each, of any coding; of them the larger one is in place of 1. The value is ranked once
+    and all columns are summed in one aggregation. Columns with more or fewer values have 0 and nulls. Rows without a value are left out; a column
+    that lacks an entry among the others raises."""
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).alias("_v"), *[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)])
+    known = known.checkpoint()
+    counts = known.groupBy("_v").agg(F.count("*").alias("_n"))
+    ties = counts.agg(F.sum(F.pow(F.col("_n").cast("double"), 3) - F.col("_n"))).first()[0] or 0.0
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{k}").alias("code")) for k, c in enumerate(columns)]))
+    each = average_rank(known, "_v", "_rank").select("_rank", cells.alias("_c")).select("_rank", "_c.*")
+    groups = each.groupBy("column", "code").agg(F.count("*").alias("n"), F.sum("_rank").alias("r"))
+    both = groups.groupBy("column").agg(
+        F.count("*").alias("codes"), F.count_if(F.col("code").isNull()).alias("missing"), F.max(F.struct("code", "n", "r")).alias("one"), F.min(F.struct("code", "n", "r")).alias("two")
+    )
+    both = both.withColumn("codes", F.when(F.col("missing") > 0, F.raise_error(F.concat(F.lit("missing entries in "), F.col("column")))).otherwise(F.col("codes")))
+    z = both.select("column", "codes", F.col("one.n").alias("n1"), F.col("two.n").alias("n0"), (F.col("one.r") - F.expr("one.n * (one.n + 1) / 2")).alias("w"))
+    z = z.withColumn("n", (F.col("n1") + F.col("n0")).cast("double")).selectExpr(
+        "column", "codes", "n1", "n0", "w", "w - n1 * n0 / 2 AS d", f"n1 * n0 / 12e0 * ((n + 1) - {ties!r}D / nullif(n * (n - 1), 0)) AS v"
+    ).selectExpr("column", "codes", "n1", "n0", "w", "pow(d - sign(d) * 0.5, 2) / nullif(v, 0) AS t")
+    two = F.col("codes") == 2
+    return z.select("column", *[F.when(two, F.col(c)).alias(c) for c in ("n1", "n0", "w")], F.when(two, F.coalesce(F.expr(neg_log10_p("t")), F.lit(0.0))).otherwise(0.0).alias("neg_log10_p"))
+
+
 def one_hot(df: DataFrame, column: str, levels: list) -> DataFrame:
     """Treatment contrasts: a column for each level but the first."""
     return df.select("*", *[F.when(F.col(column) == level, 1).otherwise(0).alias(f"{column}_{level}") for level in levels[1:]])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -68,12 +69,12 @@ def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def train_sample(people: DataFrame, observed: str, share: float = 0.1, seed: int = 3) -> DataFrame:
-    """iid, split: of the n ids that are observed, round(share * n) are "train" by a fixed arithmetic order; all others are "test".
+    """iid, split: of the n ids that are observed, floor(share * n) are "train" by a fixed arithmetic order; all others are "test".
 
     Only the counts of the order's values, at most as many as its modulus, meet in one task, and only ids at the cut are ranked.
     """
     rows = people.select("iid", F.when(F.col(observed).isNotNull(), chosen_order(F.col("iid"), seed)).alias("_o"))
-    wanted = F.lit(round(share * rows.filter("_o IS NOT NULL").count()))
+    wanted = F.lit(math.floor(share * rows.filter("_o IS NOT NULL").count()))
     counts = rows.filter("_o IS NOT NULL").groupBy("_o").count()
     before = F.sum("count").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")
     room = counts.select("_o", (wanted - before).alias("_room"))

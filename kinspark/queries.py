@@ -142,6 +142,39 @@ def wilcoxon_rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prep.rank_sum(customers, "g", "v"), "neg_log10_p")
 
 
+#: Columns of two values, of any coding; the last has one value, the one before it three.
+FLAGS = {f"f{k:02d}": f"CASE WHEN c_nationkey = {k} THEN {k % 3 + 1} ELSE {k % 3} END" for k in range(18)} | {
+    "three": "c_nationkey % 3", "constant": "CASE WHEN c_nationkey < 0 THEN 0 ELSE 1 END",
+}
+
+
+def _rank_sum_sql(name: str, flag: str) -> str:
+    return f"""SELECT '{name}' AS "column", * FROM (WITH t AS (SELECT {flag} AS c, c_acctbal AS v FROM customer), r AS (SELECT c = (SELECT max(c) FROM t) AS g, {RANK_SQL} AS rk FROM t),
+k AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM t GROUP BY v)), o AS (SELECT count(DISTINCT c) AS codes FROM t),
+a AS (SELECT count(*) FILTER (WHERE g) AS n1, count(*) FILTER (WHERE NOT g) AS n0, sum(rk) FILTER (WHERE g) AS r1, count(*)::DOUBLE AS n FROM r),
+w AS (SELECT n1, n0, n, r1 - n1 * (n1 + 1) / 2 AS w, ties, codes FROM a, k, o),
+z AS (SELECT *, (w - n1 * n0 / 2 - sign(w - n1 * n0 / 2) * 0.5) ** 2 / nullif(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1))), 0) AS t FROM w)
+SELECT CASE WHEN codes = 2 THEN n1 END AS n1, CASE WHEN codes = 2 THEN n0 END AS n0, CASE WHEN codes = 2 THEN w END AS w,
+    CASE WHEN codes = 2 THEN round({neg_log10_p('t')}, 6) ELSE 0 END AS neg_log10_p FROM z)"""
+
+
+@query(" UNION ALL ".join(_rank_sum_sql(n, f) for n, f in FLAGS.items()))
+def rank_sum_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_acctbal", *[F.expr(f).alias(n) for n, f in FLAGS.items()])
+    return rounded(prep.rank_sums(customers, list(FLAGS), "c_acctbal"), "neg_log10_p")
+
+
+#: 3,000 features of each person, by arithmetic on the id.
+FEATURES = 3000
+
+
+@query(f"""WITH {COHORT} SELECT 'v' || k AS feature, round(corr(((iid * (k + 1) + k) % 1009)::DOUBLE, y), 6) AS corr FROM cohort, range({FEATURES}) r(k) GROUP BY k""")
+def wide_correlation_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feature = f"transform(sequence(0, {FEATURES - 1}), k -> cast((iid * (k + 1) + k) % 1009 AS double))"
+    people = cohort(spark, sf_dir).select("y", F.expr(feature).alias("features"))
+    return rounded(prep.wide_correlations(people, [f"v{k}" for k in range(FEATURES)], "features", "y"), "corr")
+
+
 GRM = "grm AS (SELECT a.iid AS i, b.iid AS j, CASE WHEN a.iid = b.iid THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS k FROM cohort a JOIN cohort b ON a.family = b.family)"
 
 
@@ -576,7 +609,7 @@ def covariance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {COHORT}, picked AS (SELECT iid, row_number() OVER (ORDER BY (iid * 7919 + 3) % 10007, iid) AS r, count(*) OVER () AS n FROM cohort WHERE y_obs IS NOT NULL)
-SELECT iid, CASE WHEN r <= round_even(0.1::DOUBLE * n, 0) THEN 'train' ELSE 'test' END AS split FROM cohort LEFT JOIN picked USING (iid)""")
+SELECT iid, CASE WHEN r <= floor(0.1::DOUBLE * n) THEN 'train' ELSE 'test' END AS split FROM cohort LEFT JOIN picked USING (iid)""")
 def train_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.train_sample(cohort(spark, sf_dir), "y_obs")
 
