@@ -45,7 +45,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Keys up to so many are sent to all executors; numbers, so some megabytes at most.
-MOST_KEYS = 1_000_000
+MOST_KEYS = 200_000
 
 
 def only(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
