@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,17 +117,6 @@ def one_of_each(block: DataFrame, seed: int = 13) -> DataFrame:
     return block.groupBy("block_id").agg(F.min(F.struct(chosen_order(F.col("iid"), seed).alias("o"), "iid")).alias("m")).select("m.iid")
 
 
-def coalesced(sizes: list[tuple[int, int]], threshold: int = 1000) -> list[tuple[int, list[int]]]:
-    """Blocks in order, (id, size), joined while a group stays below the threshold. Used on the sizes of large blocks only."""
-    groups: list[tuple[int, list[int]]] = []
-    for block, size in sizes:
-        if groups and groups[-1][0] + size < threshold:
-            groups[-1] = (groups[-1][0] + size, [*groups[-1][1], block])
-        else:
-            groups.append((size, [block]))
-    return groups
-
-
 def split_by_blocks(block: DataFrame, share: float = 0.8, seed: int = 1) -> DataFrame:
     """iid, split: no block straddles train and test. Blocks are taken in a fixed arithmetic order as long as each brings the running size
     nearer to the target, so train misses the target by half a block at most."""
@@ -137,6 +128,46 @@ def split_by_blocks(block: DataFrame, share: float = 0.8, seed: int = 1) -> Data
     return block.join(split, "block_id").select("iid", "split")
 
 
+def filled(sizes: dict[int, int], target: int, seed: int) -> tuple[dict[int, int], int]:
+    """How many blocks of each size to take, of so many, and their sum. Sizes come in an order that the seed decides, the first order being the falling one, and blocks
+    of a size are taken as long as each brings the sum nearer to the target; it ends within 1 of it."""
+    key = lambda c: -c if seed == 0 else (c * 7919 + seed * 104729) % 10007
+    taken, total = dict.fromkeys(sizes, 0), 0
+    for size in sorted(sizes, key=key):
+        if abs(total - target) <= 1:
+            break
+        # a block brings the sum nearer as long as half of it fits
+        taken[size] = max(0, min(sizes[size], (2 * (target - total) + size) // (2 * size)))
+        total += taken[size] * size
+    return taken, total
+
+
+def best_split(block: DataFrame, share: float = 0.8, orders: int = 64, seed: int = 1) -> DataFrame:
+    """iid, split: no block straddles train and test, and of several orders of the sizes the one that comes nearest to the target counts, the larger sum among equals.
+
+    Of each size, the share of its blocks, rounded down, is train in every order, so that both sides have blocks of all sizes; the orders deal out the rest.
+    Only the histogram of sizes reaches the driver; which blocks of a size are taken follows a fixed arithmetic order.
+    """
+    sizes = block.groupBy("block_id").count().checkpoint()
+    histogram = {r["count"]: r["n"] for r in sizes.groupBy("count").agg(F.count("*").alias("n")).collect()}
+    target = round(share * sum(c * n for c, n in histogram.items()))
+    base = {c: math.floor(share * n) for c, n in histogram.items()}
+    start = sum(c * n for c, n in base.items())
+    rest = {c: n - base[c] for c, n in histogram.items()}
+    found = [filled(rest, target - start, k) for k in range(orders)]
+    taken, _ = min(found, key=lambda f: (abs(f[1] + start - target), -f[1]))
+    ranked = sizes.select("block_id", "count", F.struct("count", chosen_order(F.col("block_id"), seed).alias("o"), "block_id").alias("_order"), F.lit(1).alias("_one"))
+    placed = prefix_sums(ranked, "_order", "_one")
+    # places run over all sizes: those of a size start where the smaller ones end
+    quota, before = [], 0
+    for size in sorted(histogram):
+        quota.append((size, before + base[size] + taken[size]))
+        before += histogram[size]
+    cut = block.sparkSession.createDataFrame(quota or [(0, 0)], "count long, _until long")
+    split = placed.join(cut, "count").select("block_id", F.when(F.col("before") < F.col("_until"), "train").otherwise("test").alias("split"))
+    return block.join(split, "block_id").select("iid", "split")
+
+
 def monomorphic(variants: DataFrame, genotype: DataFrame, observed: DataFrame, n_observed: int) -> DataFrame:
     """snp of variants whose dosage is the same in all observed rows; rows that are absent from the sparse layout are 0, so a variant
     without any row is constant."""

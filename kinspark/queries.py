@@ -240,6 +240,12 @@ def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.split_by_blocks(members(cohort(spark, sf_dir)))
 
 
+@query()
+def block_split_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people, links = _links(spark, sf_dir)
+    return blocks.best_split(blocks.blocks(people, links))
+
+
 @query("""WITH v AS (SELECT p_partkey AS snp, p_partkey - (SELECT min(p_partkey) FROM part) AS position, (SELECT count(*) FROM part) AS n FROM part),
 a AS (SELECT *, greatest(0, (position * 7 + n - 2) // (n - 1) - 1) AS "array" FROM v)
 SELECT snp, position, "array", (row_number() OVER (PARTITION BY "array" ORDER BY position) - 1) // 200 AS chunk FROM a""")

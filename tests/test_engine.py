@@ -198,10 +198,6 @@ def test_blocks_of_any_shape(spark):
     assert abs(sum(v == "train" for v in side.values()) - 320) <= max(list(found.values()).count(b) for b in set(found.values()))
 
 
-def test_coalesced():
-    assert blocks.coalesced([(0, 4), (4, 3), (7, 9), (16, 2)], threshold=9) == [(7, [0, 4]), (9, [7]), (2, [16])]
-
-
 def test_each_variant(spark):
     """The variant takes part in the surrogate's regression; all variances and inverses are its own."""
     people, grm, dosages, k, x, s, y, g = fixture(spark)

@@ -90,3 +90,33 @@ def test_wide_correlations(spark):
 def test_train_sample_takes_the_floor(spark):
     people = spark.range(37).selectExpr("id AS iid", "1.0 AS y_obs")
     assert tables.train_sample(people, "y_obs").filter("split = 'train'").count() == 3
+
+
+@pytest.mark.parametrize("sizes", [[1] * 7, [2] * 40 + [1], [50, 3, 3, 2, 9, 14, 14, 7], [1000, 1], [5]])
+def test_best_split(spark, sizes):
+    rows = [(1000 * k + i, 1000 * k) for k, size in enumerate(sizes) for i in range(size)]
+    found = blocks.best_split(spark.createDataFrame(rows, "iid long, block_id long")).collect()
+    assert len(found) == len(rows)
+    by = {}
+    for r in found:
+        by.setdefault(r.iid // 1000, set()).add(r.split)
+    assert all(len(v) == 1 for v in by.values())
+    target, got = round(0.8 * len(rows)), sum(r.split == "train" for r in found)
+    counts = {c: sizes.count(c) for c in set(sizes)}
+    base = {c: math.floor(0.8 * n) for c, n in counts.items()}
+    start = sum(c * n for c, n in base.items())
+    every = []
+    for seed in range(64):
+        total, order = start, sorted(counts, key=lambda c: -c if seed == 0 else (c * 7919 + seed * 104729) % 10007)
+        for c in [c for c in order for _ in range(counts[c] - base[c])]:
+            if abs(total - target) <= 1:
+                break
+            if abs(total + c - target) <= abs(total - target):
+                total += c
+        every.append(total)
+    assert abs(got - target) == min(abs(e - target) for e in every)
+    assert got == max(e for e in every if abs(e - target) == abs(got - target))
+
+
+def test_best_split_of_nothing(spark):
+    assert blocks.best_split(spark.createDataFrame([], "iid long, block_id long")).collect() == []
