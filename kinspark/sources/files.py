@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kinspark.operators.blocks import canonical
+from kinspark.plans.session import prepare
 
 #: Variants whose dosages are decoded at once.
 BED_VARIANTS = 64
@@ -54,9 +55,14 @@ def read_weights(spark: SparkSession, path: str, intercept: str = "intercept") -
 
 
 def _numbered(spark: SparkSession, path: str, field: int, name: str) -> DataFrame:
-    """position (line number from 0) and one field of a table without header; such a table has a line per person or variant."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("position", "line"))
-    return lines.filter("trim(line) <> ''").select("position", F.split(F.trim("line"), r"\s+")[field].alias(name))
+    """position (line number from 0) and one field of a table without header. Tasks read the lines of their own bytes; lines are counted for each
+    stretch of bytes, and only those counts meet in one task."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")).checkpoint()
+    stretches = lines.groupBy("_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = stretches.select("_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = lines.join(stretches, "_start").withColumn("position", (F.col("_before") + F.col("_at") - F.col("_first")).cast("int"))
+    return placed.filter("trim(value) <> ''").select("position", F.split(F.trim("value"), r"\s+")[field].alias(name))
 
 
 def read_bed(spark: SparkSession, prefix: str, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +72,7 @@ def read_bed(spark: SparkSession, prefix: str, only: DataFrame | None = None) ->
     Tasks read the bytes of their own variants; of the variants in `only` (snp), no others. The path must be one that pyarrow opens on
     every executor.
     """
+    prepare(spark)
     order = _numbered(spark, f"{prefix}.fam", 1, "iid").select(person(F.col("iid")).alias("iid"), "position")
     variants = _numbered(spark, f"{prefix}.bim", 1, "snp").select("snp", "position")
     people, total = order.count(), variants.count()

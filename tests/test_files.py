@@ -112,3 +112,18 @@ def test_forest_predicts(spark):
     found = tables.forest_surrogate(people, split, ["x1", "x2"], "y", trees=20)
     assert found.count() == 200
     assert found.join(people, "iid").select(F.corr("surrogate", "y")).first()[0] > 0.9
+
+
+def test_lines_are_numbered_over_tasks(spark, tmp_path):
+    n = 200_000
+    (tmp_path / "g.bim").write_text("".join(f"1\trs{k}\t0\t{k}\tA\tG\n" for k in range(n)) + "\n")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, str(300_000))
+        found = files._numbered(spark, str(tmp_path / "g.bim"), 1, "snp")
+        assert found.filter("snp <> concat('rs', position)").count() == 0 and found.count() == n == found.select("position").distinct().count()
+        assert found.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
