@@ -168,7 +168,8 @@ def rank_sum_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = 3000
 
 
-@query(f"""WITH {COHORT} SELECT 'v' || k AS feature, round(corr(((iid * (k + 1) + k) % 1009)::DOUBLE, y), 6) AS corr FROM cohort, range({FEATURES}) r(k) GROUP BY k""")
+@query(f"""WITH {COHORT} SELECT 'v' || k AS feature, CASE WHEN min(x) < max(x) THEN round(corr(x, y), 6) END AS corr
+FROM (SELECT k, ((iid * (k + 1) + k) % 1009)::DOUBLE AS x, y FROM cohort, range({FEATURES}) r(k)) GROUP BY k""")
 def wide_correlation_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = f"transform(sequence(0, {FEATURES - 1}), k -> cast((iid * (k + 1) + k) % 1009 AS double))"
     people = cohort(spark, sf_dir).select("y", F.expr(feature).alias("features"))
