@@ -18,7 +18,7 @@ from . import families as fam
 
 #: People of one bucket, about.
 BUCKET_PEOPLE = 2000
-#: People of one block at most: its matrices are dense in a task.
+#: Blocks of up to so many people have dense matrices in a task; larger ones are solved from their entries.
 MOST_IN_BLOCK = 1000
 MEMBERS = "iid long, bucket int, block long, w array<double>, f array<double>"
 
@@ -112,12 +112,13 @@ def _columns(table: pa.Table, names: list[str]) -> list[np.ndarray]:
     return [table.column(c).to_numpy() for c in names]
 
 
-def _bucket(people: pa.Table, entries: pa.Table | None, p: int) -> tuple[pa.Table, list[fam.Stack], np.ndarray, np.ndarray]:
-    """People sorted by block and id, the stacks, z (x, s, t) and who has a target."""
+def _bucket(people: pa.Table, entries: pa.Table | None, p: int, most: int | None = None) -> tuple[pa.Table, list[fam.Stack | fam.Sparse], np.ndarray, np.ndarray]:
+    """People sorted by block and id, the stacks, z (x, s, t) and who has a target. Blocks of more than `most` people are sparse; without it, of more than
+    MOST_IN_BLOCK they raise."""
     people = people.sort_by([("block", "ascending"), ("iid", "ascending")])
     iid, block, t = _columns(people, ["iid", "block", "t"])
     largest = int(fam.runs(block)[1].max(initial=0))
-    if largest > MOST_IN_BLOCK:
+    if most is None and largest > MOST_IN_BLOCK:
         raise ValueError(f"a block has {largest} people; find blocks with blocks.adaptive_blocks, which has {MOST_IN_BLOCK} at most")
     related = None
     if entries is not None:
@@ -126,7 +127,7 @@ def _bucket(people: pa.Table, entries: pa.Table | None, p: int) -> tuple[pa.Tabl
         related = tuple(_columns(entries, ["i", "j", "k"]))
     seen = ~np.isnan(t.astype(float))
     z = np.column_stack([*_columns(people, [f"x{k}" for k in range(p)] + ["s"]), np.where(seen, t, 0.0)]).astype(float)
-    return people, fam.stacks(iid, block, related), z, seen
+    return people, fam.stacks(iid, block, related, most), z, seen
 
 
 def _by_bucket(ready: Prepared, work, schema: str) -> DataFrame:  # noqa: ANN001
@@ -154,12 +155,12 @@ def _native_moments(ready: Prepared) -> tuple[fam.Moments, fam.Moments]:
 
 def gathered(ready: Prepared) -> tuple[fam.Moments, fam.Moments]:
     """Moments of all people, and of those with a target."""
-    p = ready.p
+    p, most = ready.p, MOST_IN_BLOCK
     if ready.entries is None:
         return _native_moments(ready)
 
     def sums(people: pa.Table, entries: pa.Table | None) -> pa.Table:
-        _, stacks, z, seen = _bucket(people, entries, p)
+        _, stacks, z, seen = _bucket(people, entries, p, most)
         return pa.table({"sums": pa.array([fam.moment_sums(stacks, z, seen)], pa.list_(pa.float64()))})
 
     return fam.Moments.of(collected_sum(_by_bucket(ready, sums, "sums array<double>"), "sums"), p + 2)
@@ -193,10 +194,10 @@ def _unrelated_model(kind: str, ready: Prepared, every: fam.Moments, seen: fam.M
 
 def _model(kind: str, ready: Prepared, variances: fam.Variances, turn: np.ndarray) -> NullModel:
     """turn: weights of z's columns that give the residual of s, and of t (columns)."""
-    p = ready.p
+    p, most = ready.p, MOST_IN_BLOCK
 
     def work(people: pa.Table, entries: pa.Table | None) -> pa.Table:
-        people, stacks, z, seen = _bucket(people, entries, p)
+        people, stacks, z, seen = _bucket(people, entries, p, most)
         e = z @ turn
         e[~seen, 1:] = 0
         z = np.concatenate((z[:, :p], e), axis=1)

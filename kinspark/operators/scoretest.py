@@ -64,9 +64,15 @@ def sums_of(g: np.ndarray, people: pa.Table, n_forms: int) -> np.ndarray:
     """For each variant g'w for all weights, then the quadratic forms."""
     w = np.stack(people.column("w").to_numpy()) if people.num_rows else np.zeros((0, 0))
     out = [g @ w]
-    found = fam.from_flat(people.column("block").to_numpy(), _flat(people, "f"), n_forms)
+    block, rows = people.column("block").to_numpy(), _flat(people, "f")
+    found = fam.from_flat(block, rows, n_forms)
+    squares = np.zeros((len(g), n_forms))
     for f in range(n_forms):
-        out.append(sum(fam.quadratic(g, members, forms[f]) for members, forms in found)[:, None])
+        for members, forms in found:
+            squares[:, f] += fam.quadratic(g, members, forms[f])
+    for large, seen, variances in fam.large_from_flat(block, rows, n_forms > 1):
+        squares += large.quadratics(g[:, large.members], seen, variances)
+    out.append(squares)
     return np.concatenate(out, axis=1)
 
 
