@@ -53,6 +53,8 @@ class PerfectHash:
     PER_BUCKET, TRIES = 3, 32
 
     def __init__(self, keys: list[bytes]):
+        if len(set(keys)) < len(keys):
+            raise ValueError("keys are equal: no perfect hash exists")
         self.keys, self.size = keys, len(keys)
         self.buckets = max(1, self.size // self.PER_BUCKET)
         self.shift = np.zeros(self.buckets, np.int64)

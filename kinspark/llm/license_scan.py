@@ -2,7 +2,8 @@
 
 A notice of which at most k characters are wrong has one of its k + 1 pieces intact (pigeonhole). An Aho-Corasick automaton
 finds the pieces of all notices in one pass; only the neighbourhood of each hit is given to the regex library, whose
-bounded-error matching verifies the edits and gives the span.
+bounded-error matching verifies the edits and gives the span. A notice starts and ends with a word of the text, so that the rest of a
+word that holds one counts as edits, and another version's number is no damaged one.
 """
 
 from __future__ import annotations
@@ -57,6 +58,13 @@ def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(i, notice[i:j]) for i, j in zip(cuts, cuts[1:])]
 
 
+def _pattern(notice: str, errors: int) -> str:
+    """The notice between blanks, with so many errors. Where it ends in a version, that or a damaged word may stand there, but no other number."""
+    version = notice.rpartition(" ")[2]
+    end = rf"(?:(?<= {version})|(?<! [0-9]+)(?! [0-9]+ ))" if version.isdigit() else ""
+    return f"(?b)(?<= )(?:{regex.escape(notice)}){{e<={errors}}}{end}(?= )"
+
+
 @dataclass
 class Hit:
     """A place of a notice: words first to last, counted from 0."""
@@ -78,7 +86,8 @@ class Scan:
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE, notices: tuple = NOTICES):
         self.base, self.notices = base, notices
-        self.verify = [regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={k}}}") for n, _, k in notices]
+        # a match that runs forwards may miss words left out at its end, and one that runs backwards those at its start
+        self.verify = [(regex.compile(_pattern(n, k)), regex.compile("(?r)" + _pattern(n, k))) for n, _, k in notices]
         entries: dict[str, list] = {}
         for phrase, label in base.items():
             entries.setdefault(f" {phrase} ", []).append((None, 0, label))
@@ -105,7 +114,10 @@ class Scanner:
                     found.hits.append(Hit(first, bisect_left(blanks, end) - 1, label, 0, True, 1.0))
                 else:
                     notice, _, errors = self.notices[i]
-                    low, high = max(0, start - at - errors), start - at + len(notice) + errors
+                    # a blank more on both sides, and the next word if it is a number
+                    low, high = max(0, start - at - errors - 1), start - at + len(notice) + errors + 1
+                    if notice[-1:].isdigit():
+                        high = max(high, flat.find(" ", high) + 1)
                     near.setdefault(i, set()).add((low, min(high, len(flat))))
         for i, places in near.items():
             notice, label, _ = self.notices[i]
@@ -120,7 +132,9 @@ class Scanner:
     def _verified(self, i: int, flat: str, places: set[tuple[int, int]]) -> list[regex.Match]:
         """The best match of a notice at each candidate place, in order; of matches that overlap, the one with the fewest edits, or
         the first, stands."""
-        matches = [m for low, high in sorted(places) if (m := self.verify[i].search(flat, low, high))]
+        edits = lambda m: sum(m.fuzzy_counts)
+        both = ([m for way in self.verify[i] if (m := way.search(flat, low, high))] for low, high in sorted(places))
+        matches = [min(found, key=edits) for found in both if found]
         kept: list[regex.Match] = []
         starts: list[int] = []
         for m in sorted(matches, key=lambda m: (sum(m.fuzzy_counts), m.start())):

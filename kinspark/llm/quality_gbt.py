@@ -141,10 +141,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             stats = [statistics(as_text(t.as_py())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    # At most TRAINING_ROWS rows of a few numbers reach the driver; a repeated document counts once.
-    found = texts.select("_id", "_label", "_text").mapInArrow(measure, "id long, label int, x array<double>").toArrow()
+    # At most TRAINING_ROWS rows of a few numbers reach the driver; a repeated id counts once, before that.
+    each = texts.select("_id", "_label", "_text").mapInArrow(measure, "id long, label int, x array<double>")
+    found = each.groupBy("id").agg(F.min(F.struct("label", "x")).alias("r")).select("id", "r.label", "r.x").toArrow()
     order = np.argsort(found.column("id").to_numpy(), kind="stable")
-    order = order[np.unique(found.column("id").to_numpy()[order], return_index=True)[1]] if len(order) else order
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return x[order], found.column("label").to_numpy()[order].astype(float)
 

@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, unused
+from .common import join_groups, prepare, unused
 
 
 @dataclass(frozen=True)
@@ -122,9 +122,10 @@ def secret_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo", owner_col: str = "owner",
     example_owners: int = EXAMPLE_OWNERS,
 ) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_live, live.
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_live, live, live_repos.
 
-    live: the spans, as struct<start,end,kind>, whose value fewer than `example_owners` owners hold. A null text is empty
+    live: the spans, as struct<start,end,kind>, whose value fewer than `example_owners` owners hold. live_repos: the most repositories that hold one of
+    these values, 0 without any; a value that one owner keeps in many has to be revoked in all of them. A null text is empty
     and has no spans. Repeated rows are scanned one by one and each counts. Very long texts are scanned whole. Other
     columns are not read, so that their names cannot clash. An empty table gives an empty result.
     """
@@ -132,7 +133,9 @@ def secret_scan(
     scanned = candidates(docs, id_col, text_col, repo_col, owner_col).checkpoint()
     found = scanned.filter(F.size("spans") > 0).select("_row", "repo", "owner", F.explode("spans").alias("span"))
     found = found.select("_row", "repo", "owner", "span", F.col("span.hash").alias("hash"))
-    judged = found.join(ownership(found), "hash").groupBy("_row").agg(
+    # the rows of a widely copied value stay where they are
+    judged = join_groups(found, ownership(found), ["hash"], "n_rows").groupBy("_row").agg(
+        F.max(F.when(F.col("n_owners") < example_owners, F.col("n_repos"))).alias("live_repos"),
         F.count_if(F.col("n_owners") >= example_owners).alias("n_example"),
         F.count_if(F.col("n_owners") < example_owners).alias("n_live"),
         F.array_sort(
@@ -147,6 +150,7 @@ def secret_scan(
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("live", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")).alias("live"),
+        F.coalesce("live_repos", F.lit(0)).cast("long").alias("live_repos"),
     )
 
 
