@@ -1,43 +1,57 @@
 """SimHash near-duplicates by similarity: five-word shingles with a Jaccard similarity of 0.8 or more.
 
-Two texts of that similarity differ in about 15 % of the bits of a SimHash fingerprint. A radius of 3 of 64 bits misses nearly all of
-them, and the grid of `simhash` with its segments of two bits has no cells that are both small and wide enough for 10 of 64. So
-the fingerprint is longer and the segments are one bit wide, which makes their counts the bits: PARTS parts of PART_BITS segments
-each are the cells of a grid join with range 0, that is of equal cells, and LANES * 64 further bits drop pairs that meet by chance. What is
-left is verified exactly on the sets of shingles, for every pair that would join two groups: no link rests on fingerprints alone, and
-no pair that meets and is near enough stays undecided while its texts are in different groups.
-
-Meeting is probabilistic: with the parameters below 97 % of the pairs of similarity 0.8 meet (1 - (1 - (1 - 0.1515) ** 18) ** 64), and
-99.6 % of those of 0.85. Longer parts, and more of them, keep the cells small in larger corpora.
+The method is that of `simhash`: fingerprints become the bit counts of their segments of two bits, halves of segments meet in a grid
+range-join, and what meets is verified exactly. Two texts of that similarity differ in about 15 % of the bits of a fingerprint, too many for
+one grid over 64 bits, so the fingerprint is longer and has PARTS grids. Each part has two halves of HALF counts; two texts meet in a part if the
+Manhattan distance of its counts is 1 at most. One of its halves is equal then: that is the key by which rows are shuffled. The other
+differs in one step at most, which the task finds in its own grid, in the cell of the other half's counts and those one step up.
+LANES * 64 further bits drop pairs that meet by chance.
+
+Pairs that are left only say which documents are compared: the documents that they connect, one group, are compared exactly on their sets of
+shingles, each with each. No link rests on fingerprints alone, and none of a group is left out. Groups travel as documents dealt
+to pairs of blocks and leave a task as spanning forests, never as all their pairs.
+
+Meeting is probabilistic. In one part, pairs of similarity 0.8 differ by 1 at most with a probability of 0.122, and 97.7 % of them meet in one of 29
+parts; 99.7 % of those of 0.85 do. More counts in a half, and more parts, keep the cells small in larger corpora.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, as_text, only, prepare, stored
 from .components import connected_components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-PARTS, PART_BITS, LANES = 64, 18, 2
-WORDS = LANES + PARTS * PART_BITS // 64
+#: Parts of two halves; a half has so many segments of two bits, whose counts are 0, 1 or 2.
+PARTS, HALF, LANES = 29, 6, 2
+PART_BITS = 4 * HALF
+CODES = 3**HALF
+WORDS = LANES + -(-PARTS * PART_BITS // 64)
 #: Of the 128 bits of the lanes, a pair of similarity 0.8 differs in 19.4 on average with a deviation of 4.1, unrelated texts in 64
 #: with 5.7. Beyond FAR bits a pair is dropped.
 FAR = 36
 #: Rows of a cell that one task compares with those of another block.
-BLOCK = 1024
-#: Cells of up to so many rows give all their close pairs at once, larger ones a shortest spanning forest first, then the pairs between groups.
-_SMALL = 8
-#: A document's nearest open pairs that are verified first; all others that are still open follow at once.
-NEAREST = 2
-#: Shingles that a task holds while it verifies pairs, about.
-HELD = 1 << 22
+BLOCK = 1 << 16
+#: Documents of a group, and characters of them, that one task compares with those of another block. Blocks of groups of more than GROUP ** 2 / 4 documents grow
+#: with the root of their number, so that the rows that are dealt grow by its power of 1.5.
+GROUP, CHARS = 128, 1 << 24
+#: Rows of whole cells that a task takes at once, about.
+ROWS = 1 << 16
+#: Cells of the inner grid with up to so many rows give all their close pairs, larger ones a spanning forest.
+_SMALL = 32
+#: Columns of the matrix of shingles that is multiplied at once.
+_COLUMNS = 1 << 13
+_WEIGHTS = 3 ** np.arange(HALF)
+_COUNTS = np.arange(CODES)[:, None] // _WEIGHTS % 3
+#: Of the code of a half, those one step up in one segment; -1 where there is none.
+_UP = np.where(_COUNTS < 2, np.arange(CODES)[:, None] + _WEIGHTS, -1)
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -68,252 +82,222 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
+def halves(fp: np.ndarray) -> np.ndarray:
+    """Codes of the bit counts of the segments, a row for each part and a column for each of its halves."""
+    bits = np.unpackbits(fp[LANES:].view(np.uint8), bitorder="little")[: PARTS * PART_BITS]
+    return bits.reshape(PARTS, 2, HALF, 2).sum(axis=3, dtype=np.int64) @ _WEIGHTS
+
+
 def cells(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """PARTS rows for each document that has words: cell, node, and the lanes."""
-    weights = (1 << np.arange(PART_BITS)).astype(np.int64)
-    heads = np.arange(PARTS, dtype=np.int64) << PART_BITS
+    """Two rows a part for each document that has words: cell (part, half and its code), other (the other half's code), node, and the lanes."""
+    heads = np.arange(2 * PARTS, dtype=np.int64) * CODES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, parts, lanes = [], [], []
+            nodes, keys, others, lanes = [], [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = shingles(as_text(text.as_py()))
                 if not len(hashes):
                     continue
                 fp = long_fingerprint(hashes)
-                bits = np.unpackbits(fp[LANES:].view(np.uint8), bitorder="little").reshape(PARTS, PART_BITS)
+                codes = halves(fp)
                 nodes.append(node)
-                parts.append(bits @ weights + heads)
+                keys.append(codes.ravel() + heads)
+                others.append(codes[:, ::-1].ravel())
                 lanes.append(fp[:LANES].view("<i8"))
             if nodes:
-                each = np.repeat(np.stack(lanes), PARTS, axis=0)
+                each = np.repeat(np.stack(lanes), 2 * PARTS, axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), PARTS)),
-                     pa.array(each[:, 0]), pa.array(each[:, 1])],
-                    ["cell", "node", "a", "b"],
+                    [pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.concatenate(others).astype(np.int32)),
+                     pa.array(np.repeat(np.array(nodes, np.int64), 2 * PARTS)), pa.array(each[:, 0]), pa.array(each[:, 1])],
+                    ["cell", "other", "node", "a", "b"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("node IS NOT NULL")
-    return rows.mapInArrow(run, "cell long, node long, a long, b long")
-
-
-def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds i and j. Rows of a cell of more than BLOCK rows, by its size (cell, count), go to each pair of blocks that theirs takes part in."""
-    sizes = sizes.filter(F.col("count") > BLOCK)
-    whole = rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    if sizes.isEmpty():
-        return whole
-    # a cell has over BLOCK rows, so these are at most PARTS / BLOCK of the number of documents; AQE broadcasts them only if small
-    split = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))
-    )
-    meets = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(meets)
-    placed = rows.join(split, "cell", "left").withColumn("meets", F.explode(meets))
-    return placed.select(*rows.columns, "meets.i", "meets.j")
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Index pairs of a shortest spanning forest of the pairs that differ in at most FAR bits, by Prim's rule."""
-    size = len(a)
-    far = np.full(size, FAR + 1, np.int64)
-    source, left = np.zeros(size, np.int64), np.ones(size, bool)
-    found, at = [], 0
-    for _ in range(size - 1):
-        left[at] = False
-        d = np.bitwise_count(a ^ a[at]).astype(np.int64) + np.bitwise_count(b ^ b[at])
-        nearer = left & (d < far)
-        far[nearer], source[nearer] = d[nearer], at
-        at = int(np.argmin(np.where(left, far, 1 << 20)))
-        if far[at] <= FAR:
-            found.append((source[at], at))
-    return np.array(found, np.int64).reshape(-1, 2)
-
-
-def _distance(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return rows.mapInArrow(run, "cell int, other int, node long, a long, b long")
+
+
+def dealt(rows: DataFrame, split: DataFrame, key: str) -> DataFrame:
+    """Adds own, i and j. Rows of a key that has several blocks, a table (key, blocks), have one of their own and go to each pair of blocks that it takes part in."""
+    if split.isEmpty():
+        return rows.withColumns({c: F.lit(0) for c in ("own", "i", "j")})
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0))
+    every = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+    meets = F.transform(every, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    placed = rows.join(split, key, "left").withColumn("own", own).withColumn("meets", F.explode(meets))
+    return placed.select(*rows.columns, "own", "meets.i", "meets.j")
+
+
+def _distance(a: np.ndarray, b: np.ndarray, u: np.ndarray | int, v: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[u] ^ a[v]).astype(np.int64) + np.bitwise_count(b[u] ^ b[v])
 
 
-def _first_pairs(starts: np.ndarray, sizes: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, _: np.ndarray) -> list[np.ndarray]:
-    """Of rows in groups: all pairs of small groups, and the forests of large ones."""
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    small, found = sizes[group] <= _SMALL, []
-    for k in range(1, min(_SMALL, len(group))):
-        near = np.flatnonzero((group[k:] == group[:-k]) & small[:-k])
-        if not len(near):
+def _spanning(size: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Index pairs of a spanning forest; near(k, left) says which of left are next to k."""
+    left, found = np.arange(size), []
+    while len(left):
+        open_, left = [int(left[0])], left[1:]
+        while open_ and len(left):
+            at = open_.pop()
+            reached = near(at, left)
+            new, left = left[reached], left[~reached]
+            open_ += new.tolist()
+            if len(new):
+                found.append(np.stack((np.full(len(new), at), new), axis=1))
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+
+def _close(group: np.ndarray, other: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Index pairs of rows of a group whose other halves are one step apart at most and whose lanes differ in FAR bits at most: all of them, or a forest that
+    connects them."""
+    rows, keys, steps = [np.arange(len(group))], [group * CODES + other], [np.zeros(len(group), np.int64)]
+    for k in range(HALF):
+        up = _UP[other, k]
+        has = np.flatnonzero(up >= 0)
+        rows.append(has)
+        keys.append(group[has] * CODES + up[has])
+        steps.append(np.ones(len(has), np.int64))
+    row, key, step = (np.concatenate(x) for x in (rows, keys, steps))
+    order = np.argsort(2 * key + step, kind="stable")
+    row, key, step = row[order], key[order], step[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(key)])))
+    # of two rows that meet, one lies in its own cell at least; rows in their own cells come first
+    active = np.flatnonzero((step == 0) & np.repeat(sizes <= _SMALL, sizes))
+    found = []
+    for k in range(1, _SMALL):
+        active = active[active + k < len(key)]
+        active = active[key[active + k] == key[active]]
+        if not len(active):
             break
-        found.append(np.stack((near, near + k), axis=1))
-    for g in np.flatnonzero(sizes > _SMALL).tolist():
+        u, v = row[active], row[active + k]
+        near = (_distance(a, b, u, v) <= FAR) & (node[u] != node[v])
+        found.append(np.stack((u[near], v[near]), axis=1))
+    for g in np.flatnonzero((sizes > _SMALL) & (step[starts] == 0)).tolist():
         s = slice(starts[g], starts[g] + sizes[g])
-        found.append(_forest(a[s], b[s]) + starts[g])
-    return found
-
-
-def _open_pairs(nearest: int):  # noqa: ANN202
-    """Pairs of rows of a group whose documents are in different components: of each row outside of the largest one, the nearest so many."""
-
-    def pairs(starts: np.ndarray, sizes: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
-        found = []
-        for first, size in zip(starts.tolist(), sizes.tolist()):
-            own = root[first : first + size]
-            roots, at, counts = np.unique(own, return_inverse=True, return_counts=True)
-            for k in np.flatnonzero(at != np.argmax(counts)).tolist() if len(roots) > 1 else ():
-                d = _distance(a, b, np.full(size, first + k), np.arange(first, first + size))
-                near = np.flatnonzero((d <= FAR) & (own != own[k]))
-                near = near[np.argsort(d[near], kind="stable")[:nearest]]
-                found.append(np.stack((np.full(len(near), first + k), near + first), axis=1))
-        return found
-
-    return pairs
-
-
-def _meet(choose):  # noqa: ANN001, ANN202
-    """Candidate pairs of rows (cell, i, j, node, a, b, root) sorted by (cell, i, j, node); groups may go over the ends of batches."""
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cell, i, j, node, a, b, root = rows
-        starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        found = choose(starts, np.diff(np.concatenate((starts, [len(cell)]))), node, a, b, root)
-        if not found:
-            return
-        u, v = np.concatenate(found).T
-        d = _distance(a, b, u, v)
-        u, v, d = (x[(d <= FAR) & (node[u] != node[v])] for x in (u, v, d))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[u], node[v])), pa.array(np.maximum(node[u], node[v])), pa.array(d)], ["u", "v", "d"])
+        at, stepped = row[s], step[s] == 1
+        pairs = _spanning(len(at), lambda k, left: (_distance(a, b, at[k], at[left]) <= FAR) & ~(stepped[k] & stepped[left]))  # noqa: B023
+        found.append(at[pairs])
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # slices of the last group, which may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
-            rows[4], rows[5] = rows[4].view(np.uint64), rows[5].view(np.uint64)
-            same = np.ones(len(rows[0]), bool)
-            for c in range(3):
-                same &= rows[c] == rows[c][-1]
-            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            goes_on = bool(held) and last == 0 and all(held[-1][c][-1] == rows[c][0] for c in range(3))
-            if not goes_on:
-                whole = held + [[r[:last] for r in rows]]
-                merged = [np.concatenate(x) for x in zip(*whole)]
-                if len(merged[0]):
-                    yield from pairs(merged)
-                held = []
-            held.append([r[last:] for r in rows])
-        if held:
-            yield from pairs([np.concatenate(x) for x in zip(*held)])
-
-    return run
-
-
-def candidates(rows: DataFrame, sizes: DataFrame, nearest: int | None = None) -> DataFrame:
-    """u < v, d: pairs of documents that share a cell and differ in d bits of the lanes, FAR at most, each pair once. rows: cell, node, a, b, root; sizes: cell and count of large
-    cells.
-
-    Without `nearest`, those that are to be looked at first; with it, of pairs between components, the nearest so many of a row.
-    """
-    placed = dealt(rows, sizes).select("cell", "i", "j", "node", "a", "b", "root")
-    sorted_rows = placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
-    choose = _first_pairs if nearest is None else _open_pairs(nearest)
-    return sorted_rows.mapInArrow(_meet(choose), "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
 
+def _tree(pairs: np.ndarray) -> np.ndarray:
+    """The pairs that link what those before did not."""
+    parent: dict[int, int] = {}
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (u, v, text of u, text of v) whose sets of shingles are similar enough; rows come in order of u. A text's shingles are made once
-    as long as those that are held stay below HELD."""
-    held: dict[int, np.ndarray] = {}
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    kept = []
+    for k, (u, v) in enumerate(pairs.tolist()):
+        u, v = find(u), find(v)
+        if u != v:
+            parent[v] = u
+            kept.append(k)
+    return pairs[kept]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a forest of the pairs that meet, from rows (cell, i, j, node, other, a, b) sorted by (cell, i, j); groups may go over the ends of batches."""
+
+    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+        cell, i, j, node, other = (r.astype(np.int64) for r in rows[:5])
+        change = np.concatenate(([True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        found = _close(np.cumsum(change) - 1, other, node, rows[5].view(np.uint64), rows[6].view(np.uint64))
+        found = _tree(np.sort(node[found], axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+    held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
-        kept = []
-        for k, (u, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            sets = []
-            for c, node in enumerate((u, v)):
-                own = held.get(node)
-                if own is None:
-                    own = shingles(as_text(batch.column(2 + c)[k].as_py()))
-                    if size > HELD:
-                        held, size = {}, 0
-                    held[node] = own
-                    size += len(own)
-                sets.append(own)
-            one, two = sets
-            at = np.searchsorted(one, two)
-            both = int(np.count_nonzero(one[np.minimum(at, len(one) - 1)] == two)) if len(one) else 0
-            # in whole numbers, so that exactly 0.8 counts
-            kept.append(10 * both >= round(10 * SIMILARITY) * (len(one) + len(two) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
-
-
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs u, v whose texts (node, text) have a similarity of SIMILARITY or more."""
-    left, right = texts.toDF("u", "text_u"), texts.toDF("v", "text_v")
-    rows = pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
-    return rows.sortWithinPartitions("u").mapInArrow(_alike, "u long, v long")
-
-
-def _rooted(rows: DataFrame, roots: DataFrame, node: str, into: str) -> DataFrame:
-    return rows.join(roots.toDF(node, "_root"), node, "left").withColumn(into, F.coalesce("_root", node)).drop("_root")
-
-
-class _Links:
-    """Verified links so far, the components that they make (node, root, for nodes that aren't their root), and the pairs that have been verified."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("node IS NOT NULL")
-        self.found = self.tried = docs.sparkSession.createDataFrame([], "u long, v long")
-        self.roots = docs.sparkSession.createDataFrame([], "node long, root long")
-
-    def _apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs between components, with the roots of both as _one and _two."""
-        return _rooted(_rooted(pairs, self.roots, "u", "_one"), self.roots, "v", "_two").filter("_one <> _two")
-
-    def _add(self, links: DataFrame) -> None:
-        """Joins components: only the graph of the roots that new links join is worked on."""
-        if links.isEmpty():
-            return
-        self.found = self.found.union(links)
-        moved = connected_components(self._apart(links).select(F.col("_one").alias("u"), F.col("_two").alias("v")))
-        self.roots = _rooted(self.roots, moved, "root", "root").select("node", "root").union(moved).checkpoint()
-
-    def settle(self, pairs: DataFrame) -> None:
-        """Verifies pairs (u, v, d), a document's nearest first, until each is verified or within a component."""
-        texts = self.texts
-        for nearest in (NEAREST, None):
-            apart = self._apart(pairs).select("u", "v", "d").join(self.tried, ["u", "v"], "left_anti").checkpoint()
-            if apart.isEmpty():
-                return
-            now = apart
-            if nearest is not None:
-                ends = apart.select("u", "v", "d", F.explode(F.array("u", "v")).alias("_end"))
-                rank = F.row_number().over(Window.partitionBy("_end").orderBy("d", "u", "v"))
-                now = ends.withColumn("_rank", rank).filter(F.col("_rank") <= nearest)
-            now = now.select("u", "v").distinct().checkpoint()
-            # only texts of open pairs are kept, fewer in the second round
-            named = apart.select(F.explode(F.array("u", "v")).alias("node")).distinct().checkpoint()
-            texts = stored(only(texts, named, "node").groupBy("node").agg(F.min("text").alias("text")))
-            self.tried = self.tried.union(now)
-            self._add(verified(texts, now).checkpoint())
-
-
-def _settled(docs: DataFrame, id_col: str, text_col: str) -> _Links:
+        held.append([batch.column(c).to_numpy() for c in range(7)])
+        size += batch.num_rows
+        if size < ROWS:
+            continue
+        rows = [np.concatenate(x) for x in zip(*held)]
+        other = np.flatnonzero(np.any([r != r[-1] for r in rows[:3]], axis=0))
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last:
+            yield pairs([r[:last] for r in rows])
+        held = [[r[last:] for r in rows]]
+        size = len(held[0][0]) if last else 0  # a group that goes on is looked at again after as many rows
+    if held:
+        rows = [np.concatenate(x) for x in zip(*held)]
+        if len(rows[0]):
+            yield pairs(rows)
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """u < v: pairs of documents that meet and differ in FAR bits of the lanes at most; enough of them to connect all that do."""
     rows = stored(cells(docs, id_col, text_col))
-    sizes = rows.groupBy("cell").count().filter(F.col("count") > _SMALL).checkpoint()
-    state = _Links(docs, id_col, text_col)
-    state.settle(candidates(rows.withColumn("root", F.col("node")), sizes).checkpoint())
-    # of large cells only forests have been looked at; a forest's pair may fail where another one holds
-    large = stored(only(rows, sizes, "cell"))
-    for most in (_SMALL, 2 * BLOCK):  # a row's nearest first, then all
-        apart = candidates(_rooted(large, state.roots, "node", "root"), sizes, most).checkpoint()
-        if apart.isEmpty():
-            break
-        state.settle(apart)
-    return state
+    sizes = rows.groupBy("cell").count().filter(F.col("count") > BLOCK)
+    split = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")).checkpoint()
+    placed = dealt(rows, split, "cell").select("cell", "i", "j", "node", "other", "a", "b")
+    sorted_rows = placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return sorted_rows.mapInArrow(_meet, "u long, v long").distinct()
+
+
+def alike(sets: list[np.ndarray], blocks: np.ndarray) -> np.ndarray:
+    """Index pairs of a spanning forest of the similar ones among sorted sets: of different blocks, or all if there is but one."""
+    flat, lengths = np.concatenate(sets), np.array([len(x) for x in sets])
+    _, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column, owner = (np.cumsum(shared) - 1)[at], np.repeat(np.arange(len(sets)), lengths)
+    column, owner = column[shared[at]], owner[shared[at]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for first in range(0, int(shared.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + _COLUMNS))
+        held = np.zeros((len(sets), min(_COLUMNS, int(column[hi - 1]) + 1 - first)), np.float32)
+        held[owner[lo:hi], column[lo:hi] - first] = 1
+        both += (held @ held.T).astype(np.int64)
+    # in whole numbers, so that exactly 0.8 counts
+    near = 10 * both >= round(10 * SIMILARITY) * (lengths[:, None] + lengths - both)
+    if blocks.min() != blocks.max():
+        near &= blocks[:, None] != blocks
+    return _spanning(len(sets), lambda k, left: near[k, left])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows (root, i, j, own, node, text) sorted by (root, i, j)."""
+
+    def out(group: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+        own, node, sets = zip(*group)
+        return np.sort(np.array(node, np.int64)[alike(list(sets), np.array(own))], axis=1)
+
+    def batch_of(links: list[np.ndarray]) -> pa.RecordBatch:
+        u, v = np.concatenate(links).T
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    at, group = None, []
+    for batch in batches:
+        links = [np.empty((0, 2), np.int64)]
+        for *key, own, node, text in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            if key != at:
+                if len(group) > 1:
+                    links.append(out(group))
+                at, group = key, []
+            group.append((own, node, shingles(as_text(text))))
+        yield batch_of(links)
+    if len(group) > 1:
+        yield batch_of([out(group)])
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """u < v: similar documents, all of them verified; pairs that other links connect already are left out."""
-    return _settled(docs, id_col, text_col).found
+    """u < v: similar documents, all of them verified; pairs that other links of their task connect already are left out."""
+    prepare(docs.sparkSession)
+    roots = connected_components(candidates(docs, id_col, text_col))
+    members = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).checkpoint()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("node IS NOT NULL")
+    texts = only(texts, members, "node").groupBy("node").agg(F.min("text").alias("text"))
+    rows = stored(texts.join(members, "node"))
+    blocks = F.ceil(F.greatest(F.least(F.count("*") / GROUP, F.sqrt(F.count("*")) / 2), F.sum(F.length("text")) / CHARS))
+    split = rows.groupBy("root").agg(F.least(blocks, F.count("*")).cast("int").alias("blocks")).filter("blocks > 1").checkpoint()
+    placed = dealt(rows, split, "root").select("root", "i", "j", "own", "node", "text")
+    return placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_compare, "u long, v long").checkpoint()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,6 +307,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows without an id and texts without words (null, empty, whitespace) stay. An id names one document: rows that repeat it stay or
     go together. An empty table gives an empty one. Texts of any length are read whole; columns may have any names.
     """
-    prepare(docs.sparkSession)
-    gone = _settled(docs, id_col, text_col).roots.select(F.col("node").alias("_gone"))
+    gone = connected_components(links(docs, id_col, text_col)).select(F.col("node").alias("_gone"))
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -119,3 +119,55 @@ def test_groups_at_the_bound(spark, monkeypatch):
     assert {r.doc_id for r in simhash_similar.keep_first(docs).collect()} == {i for i in root if find(i) == i}
     for r in simhash_similar.links(docs).collect():
         assert similar(r.u, r.v)
+
+
+def test_range_join(spark):
+    """Rows meet whose counts differ by one step in a part; pairs that no half shares are never looked at."""
+    rng = np.random.default_rng(3)
+    size = 400
+    counts = rng.integers(0, 3, (size, simhash_similar.HALF))
+    code = counts @ simhash_similar._WEIGHTS
+    lanes = rng.integers(0, 2**63, 6).astype(np.uint64)[rng.integers(0, 6, size)]
+    group, zero = np.sort(rng.integers(0, 3, size)), np.zeros(size, np.uint64)
+    found = {tuple(sorted(p)) for p in simhash_similar._tree(np.sort(simhash_similar._close(group, code, np.arange(size), lanes, zero), axis=1)).tolist()}
+    apart = np.abs(counts[:, None] - counts).sum(axis=2)
+    far = np.bitwise_count(lanes[:, None] ^ lanes)
+    near = (apart <= 1) & (far <= simhash_similar.FAR) & (group[:, None] == group)
+    assert all(near[p] for p in found)
+    root = list(range(size))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def parts(pairs):
+        root[:] = range(size)
+        for u, v in pairs:
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+        return [find(x) for x in range(size)]
+
+    assert parts(found) == parts(np.argwhere(np.triu(near, 1)).tolist())
+
+
+def test_counts_of_segments():
+    """Each code holds the bit counts of six segments of two bits."""
+    fp = simhash_similar.long_fingerprint(simhash_similar.shingles(" ".join(f"w{k}" for k in range(90))))
+    bits = [int(w) >> k & 1 for w in fp for k in range(64)][64 * simhash_similar.LANES :]
+    for part, row in enumerate(simhash_similar.halves(fp).tolist()):
+        for half, code in enumerate(row):
+            at = part * simhash_similar.PART_BITS + half * 2 * simhash_similar.HALF
+            assert [code // 3**k % 3 for k in range(simhash_similar.HALF)] == [bits[at + 2 * k] + bits[at + 2 * k + 1] for k in range(simhash_similar.HALF)]
+
+
+def test_large_group_in_blocks(spark):
+    """A group of 400 texts around the bound: the same components as by brute force, and few rows of links rather than its pairs."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(k, " ".join(f"edit{rng.random():.9f}" if rng.random() < 0.03 * (k % 3) / 2 else w for w in base)) for k in range(400)]
+    docs = frame(spark, rows)
+    assert {r.doc_id for r in simhash_similar.keep_first(docs).collect()} == firsts(rows)
+    blocks = -(-len(rows) // simhash_similar.GROUP)
+    assert simhash_similar.candidates(docs).count() <= 2 * simhash_similar.PARTS * len(rows)
+    assert simhash_similar.links(docs).count() <= blocks * len(rows)
