@@ -57,8 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, model = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     second = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    bands = fertility.fit_bands(docs, table(spark, sf_dir, "labels"), model, **second)
-    return fertility.quality_rules(docs, model, bands=bands, **second)
+    return fertility.learnt_rules(docs, table(spark, sf_dir, "labels"), model, **second)
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
