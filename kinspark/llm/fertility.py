@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +79,8 @@ LEAST_TOKENS = 20
 LEAST_DOCS, REACH = 20, 3.5
 #: A text of so many tokens is as uncertain again as a very long one.
 SHORT = 1000
+#: Bytes of texts whose words are looked up together, about.
+TEXT_BYTES = 1 << 20
 #: Bins in which values are counted in one round of the search for a median.
 BINS = 256
 
@@ -96,31 +98,42 @@ class Meter:
         if ranks is not None:
             pairs = (line.split() for line in ranks.splitlines() if line)
             self.second = tiktoken.Encoding("second", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-        self.counts: dict[bytes, int] = {}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.long: dict[bytes, bytes] = {}
+
+    def learn(self, texts: Iterable[list[bytes]]) -> None:
+        """Encodes the words that are new, all at once: the number of tokens by the second vocabulary, negative, if there is one, then the ids by the
+        first. Long words are kept until the next call."""
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        self.long = {}
+        new = list(set().union(*texts).difference(self.cache))
+        if not new:
+            return
+        strings = [w.decode("utf-8", "replace") for w in new]
+        encoded = self.model.encode(strings, num_threads=1)
+        if self.second is not None:
+            count = self.second.encode_ordinary
+            encoded = [(-sum(len(count(s)) for s in segments(" " + t)), *ids) for t, ids in zip(strings, encoded)]
+        for word, ids in zip(new, encoded):
+            (self.cache if len(word) <= CACHE_BYTES else self.long)[word] = array("i", ids).tobytes()
 
     def tokens(self, words: list[bytes]) -> tuple[np.ndarray, int]:
         """Ids by the first vocabulary, and the number of tokens by the second, 0 without one."""
-        ids, counts = self.cache, self.counts
-        if len(ids) > CACHE_ENTRIES:
-            ids.clear()
-            counts.clear()
-        new = list(set(words).difference(ids))
-        if new:
-            texts = [w.decode("utf-8", "replace") for w in new]
-            ids.update(zip(new, map(tuple, self.model.encode(texts, num_threads=1))))
-            if self.second is not None:
-                counts.update((w, sum(len(self.second.encode_ordinary(s)) for s in segments(" " + t))) for w, t in zip(new, texts))
-        found = np.fromiter(chain.from_iterable(map(ids.__getitem__, words)), np.int32)
-        second = sum(map(counts.__getitem__, words)) if self.second is not None else 0
-        for word in new:
-            if len(word) > CACHE_BYTES:
-                del ids[word]
-                counts.pop(word, None)
-        return found, second
+        try:
+            joined = b"".join(map(self.cache.__getitem__, words))
+        except KeyError:  # long words, or such as have not been learnt
+            if not all(w in self.cache or w in self.long for w in words):
+                self.learn([words])
+            joined = b"".join([self.long[w] if w in self.long else self.cache[w] for w in words])
+        found = np.frombuffer(joined, np.int32)
+        if self.second is None:
+            return found, 0
+        marks = found < 0
+        return found[~marks], -int(found[marks].sum(dtype=np.int64))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -223,14 +236,20 @@ def measured(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = _meter(shared)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
+            rows, held, size = [], [], 0
+            for k, text in enumerate(batch.column(1)):
                 text = as_text(text.as_py())
-                data, words, chars, repeated, failed = parts_of(text)
-                rows.append((
-                    len(words), chars, len(data) - len(data.translate(None, _SYMBOLS)), duplicate_lines(data), repeated, failed,
-                    *measures(meter, words, chars), script_of(text),
-                ))
+                held.append((text, *parts_of(text)))
+                size += len(held[-1][1])
+                if size < TEXT_BYTES and k + 1 < batch.num_rows:
+                    continue
+                meter.learn(words for _, _, words, *_ in held)
+                for text, data, words, chars, repeated, failed in held:
+                    rows.append((
+                        len(words), chars, len(data) - len(data.translate(None, _SYMBOLS)), duplicate_lines(data), repeated, failed,
+                        *measures(meter, words, chars), script_of(text),
+                    ))
+                held, size = [], 0
             kinds = [*[pa.int64()] * 5, pa.bool_(), pa.int64(), *[pa.float64()] * 4, pa.string()]
             *columns, script = (pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2), script], [c.split()[0] for c in MEASURED.split(", ")])

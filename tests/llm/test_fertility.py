@@ -69,3 +69,18 @@ def test_words_and_scripts():
         counts = {name: len(regex.findall(rf"\p{{Script={name}}}", text)) for name in fertility.SCRIPTS}
         best = max(fertility.SCRIPTS, key=counts.__getitem__)
         assert fertility.script_of(text) == (best if counts[best] else "")
+
+
+@pytest.mark.parametrize("entries", [400_000, 2])
+def test_words_learnt_together(entries, monkeypatch):
+    """Words of many texts are encoded at once, whatever the cache holds: the tokens are those of each text by itself."""
+    monkeypatch.setattr(fertility, "CACHE_ENTRIES", entries)
+    with open(MODEL, "rb") as model, open(RANKS, "rb") as ranks:
+        vocabularies = model.read(), ranks.read(), public_tokenizers.PATTERN
+    texts = [[b"the", b"river", b"y" * 90], [], ["naïve".encode(), b"the"], [b"q" * 90, b"river"], [b"stone"]]
+    meter = fertility.Meter(*vocabularies)
+    meter.learn(texts[:3])
+    for words in texts:
+        ids, second = meter.tokens(words)
+        alone, count = fertility.Meter(*vocabularies).tokens(words)
+        assert list(ids) == list(alone) and second == count
